@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import docpairs
+from skein.llm import docpairs, origin
 from skein.session import table
 
 
@@ -18,7 +18,25 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.code_description_pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "symbols"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root, file: source files that are generated, minified, third-party or data."""
+    return origin.found(table(spark, sf_dir, "nodes"))
+
+
+def p3_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """origin, reason, files: what speaks for each class."""
+    return origin.origins(table(spark, sf_dir, "nodes")).groupBy("origin", "reason").count().withColumnRenamed("count", "files")
+
+
+def p3_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root, file: what remains."""
+    return origin.hand_written(table(spark, sf_dir, "nodes"))
+
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, None),
     "p1_pairs": (p1_pairs, None),
+    "p3_found": (p3_found, None),
+    "p3_origins": (p3_origins, None),
+    "p3_hand_written": (p3_hand_written, None),
 }
