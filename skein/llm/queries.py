@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import docpairs, origin
+from skein.llm import docpairs, origin, pieces, tokens
 from skein.session import table
 
 
@@ -33,10 +34,36 @@ def p3_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.hand_written(table(spark, sf_dir, "nodes"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id: the nodes whose body is over 6,000 characters, each split."""
+    return pieces.found(table(spark, sf_dir, "nodes"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, piece, start, end, text of every oversized body."""
+    return pieces.split_oversized(table(spark, sf_dir, "nodes"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids: every document encoded by byte_bpe_50k."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, same: whether the decoded ids give the text again (null and empty texts have no ids)."""
+    docs = table(spark, sf_dir, "documents")
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "again")
+    return docs.join(back, "doc_id").select("doc_id", (F.col("again") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, None),
     "p1_pairs": (p1_pairs, None),
     "p3_found": (p3_found, None),
     "p3_origins": (p3_origins, None),
     "p3_hand_written": (p3_hand_written, None),
+    "p4_found": (p4_found, "select distinct id from nodes where length(body) > 6000"),
+    "p4_pieces": (p4_pieces, None),
+    "p7_ids": (p7_ids, None),
+    "p7_round_trip": (p7_round_trip, "select doc_id, true as same from documents"),
 }
