@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import docpairs, origin, pieces, tokens
+from skein.llm import docpairs, origin, packing, pieces, tokens
 from skein.session import table
 
 
@@ -56,6 +56,16 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", (F.col("again") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, part, length, container, start: every document in containers of 2,048 tokens."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """containers, tokens, unused."""
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, None),
     "p1_pairs": (p1_pairs, None),
@@ -65,5 +75,7 @@ QUERIES: dict[str, tuple] = {
     "p4_found": (p4_found, "select distinct id from nodes where length(body) > 6000"),
     "p4_pieces": (p4_pieces, None),
     "p7_ids": (p7_ids, None),
+    "p8_containers": (p8_containers, None),
+    "p8_fill": (p8_fill, None),
     "p7_round_trip": (p7_round_trip, "select doc_id, true as same from documents"),
 }
