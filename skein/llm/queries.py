@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import docpairs, origin, packing, pieces, tokens
+from skein.llm import docpairs, origin, packing, pieces, subjects, tokens
 from skein.session import table
 
 
@@ -66,6 +66,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_containers(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, subject: what each document is about."""
+    return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "subject_examples", "subject_areas")))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, documents: the corpus composition."""
+    return p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, tuple] = {
     "p1_found": (p1_found, None),
     "p1_pairs": (p1_pairs, None),
@@ -77,5 +87,7 @@ QUERIES: dict[str, tuple] = {
     "p7_ids": (p7_ids, None),
     "p8_containers": (p8_containers, None),
     "p8_fill": (p8_fill, None),
+    "p9_found": (p9_found, None),
+    "p9_mix": (p9_mix, None),
     "p7_round_trip": (p7_round_trip, "select doc_id, true as same from documents"),
 }
