@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skein.plans import records
+from skein.plans import graph_queries, records
 
-QUERIES: dict[str, tuple] = {**records.QUERIES}
+QUERIES: dict[str, tuple] = {**records.QUERIES, **graph_queries.QUERIES}
 
 
 def flagship(spark, sf_dir):
-    return records.p6_counts(spark, sf_dir)
+    """Blast radius of what the newest snapshots changed, with its risk."""
+    return graph_queries.g22_blast_radius(spark, sf_dir).orderBy("risk", "hop", "id")
