@@ -202,5 +202,5 @@ def branch_name(message) -> Column:
 
 def outcome_tags(message) -> Column:
     """Distinct trimmed names in [outcome:X] tags."""
-    tags = F.transform(F.regexp_extract_all(_c(message), F.lit(r"\[outcome:([^\]]*)\]"), F.lit(1)), F.trim)
+    tags = F.transform(F.regexp_extract_all(_c(message), F.lit(r"\[outcome:([^\]]*)\]"), F.lit(1)), lambda t: F.trim(t))
     return F.array_distinct(F.filter(tags, lambda t: t != ""))

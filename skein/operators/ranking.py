@@ -45,12 +45,12 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85) -> DataF
     for k in range(1, iterations + 1):
         passed = ranks.join(flow, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("passed"))
         loose = ranks.where("dangling").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("loose"))
-        new = F.lit((1 - damping) / n) + damping * (F.coalesce("passed", F.lit(0.0)) + F.col("loose"))
-        ranks = nodes.join(passed, "id", "left").crossJoin(F.broadcast(loose)).select("id", "dangling", new.alias("rank"))
+        new = F.lit((1 - damping) / n) + damping * (F.coalesce("passed", F.lit(0.0)) + loose.scalar())
+        ranks = nodes.join(passed, "id", "left").select("id", "dangling", new.alias("rank"))
         if k % CHECKPOINT == 0:
             ranks = store(ranks, "ranks").df
     top = ranks.agg(F.max("rank").alias("top"))
-    return ranks.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("importance"))
+    return ranks.select("id", (F.col("rank") / top.scalar()).alias("importance"))
 
 
 def coupling(graph: Graph) -> DataFrame:

@@ -42,9 +42,10 @@ def bm25(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     asked = spark.createDataFrame([(w,) for w in sorted(set(query.lower().split()))], "term string")
     hits = index.join(F.broadcast(asked), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(lengths)).groupBy("id").agg(F.sum(part).alias("score"))
+    docs, average = lengths.select("docs").scalar(), lengths.select("average").scalar()
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
+    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def corpus_lengths(docs: DataFrame, text_col: str) -> DataFrame:
@@ -117,7 +118,7 @@ def supplement(hits: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """Name matches that retrieval missed take up to min(limit, 10) of the last places."""
     more = names.join(hits.select("id"), "id", "left_anti").withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).where(F.col("place") <= min(limit, 10))
     count = more.agg(F.count("*").alias("n"))
-    kept = hits.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).crossJoin(F.broadcast(count)).where(F.col("place") <= F.greatest(limit - F.col("n"), F.lit(0)))
+    kept = hits.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).where(F.col("place") <= F.greatest(limit - count.scalar(), F.lit(0)))
     return kept.select("id", "score", F.lit(0).alias("source_rank")).unionByName(more.select("id", "score", F.lit(1).alias("source_rank")))
 
 
@@ -167,11 +168,17 @@ def embedding_text(name, doc, body, budget: int = 650) -> Column:
     return F.substring(F.concat_ws("\n", name, doc, body), 1, budget)
 
 
-def hashed_vector(text, size: int = 64) -> Column:
-    """A deterministic stand-in for a model: word counts hashed into ``size`` places, of length 1."""
-    places = F.transform(words_of(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("float"))
-    return F.transform(counts, lambda x: (x / F.sqrt(F.greatest(dot(counts, counts), F.lit(1.0)))).cast("float"))
+def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
+    """Id, embedding: a deterministic stand-in for a model: word counts hashed into ``size`` places, of length 1.
+
+    Texts without words, and null texts, have the zero vector. Ids must be distinct.
+    """
+    place = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
+    counts = postings(docs, id_col, text_col).groupBy("id", place.alias("place")).agg(F.sum("tf").alias("n"))
+    per = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    all_ids = docs.select(F.col(id_col).alias("id")).join(per, "id", "left")
+    value = lambda k: F.coalesce(F.try_element_at(F.col("m"), k) / F.col("norm"), F.lit(0.0)).cast("float")
+    return all_ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("embedding"))
 
 
 def upsert_embeddings(stored: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
