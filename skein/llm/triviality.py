@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from skein.llm.lexing import words
+from skein.sources.lexing import words
 
 #: Function words and fillers of documentation in English, German, Spanish and French.
 FILLERS = frozenset(
