@@ -23,9 +23,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,7 +59,9 @@ _WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 
 
+@lru_cache(maxsize=200_000)
 def singular(word: str) -> str:
+    word = word.lower()
     while len(word) > 3 and word.endswith("s"):
         word = word[:-2] if word.endswith("es") and len(word) > 4 else word[:-1]
     return word
@@ -80,7 +84,7 @@ def terms(text: str | None) -> Counter:
     for s in sentences(text or ""):
         if PASSING.search(s):
             continue
-        words = [singular(w.lower()) for w in _WORD.findall(_CAMEL.sub(" ", _PLACE.sub(" ", s)))]
+        words = [singular(w) for w in _WORD.findall(_CAMEL.sub(" ", _PLACE.sub(" ", s)))]
         out.update(w for w in words if len(w) > 1)
         out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
     return out
@@ -126,18 +130,19 @@ def expected(topics: np.ndarray, table, subjects: int, mask: np.ndarray | None =
     """Expected topic counts of each (document, term) entry, and of each document: variational inference with the topics fixed."""
     ptr, col, val = table
     n, k = len(ptr) - 1, topics.shape[1]
-    alpha = np.asarray([ALPHA_SUBJECT] * subjects + [ALPHA_BACKGROUND] * (k - subjects))
+    alpha = np.asarray([ALPHA_SUBJECT] * subjects + [ALPHA_BACKGROUND] * (k - subjects), dtype=topics.dtype)
     row = np.repeat(np.arange(n), np.diff(ptr))
     full = np.flatnonzero(np.diff(ptr) > 0)
     p = topics[col] if mask is None else topics[col] * mask[row]
     share = np.tile(alpha / alpha.sum(), (n, 1))
-    each, counts = np.zeros((len(col), k)), np.zeros((n, k))
+    each, counts = np.zeros((len(col), k), topics.dtype), np.zeros((n, k), topics.dtype)
+    val = val.astype(topics.dtype)
     for _ in range(INNER):
         if not len(full):
             break
         each = p * share[row]
-        each *= (val / (each.sum(axis=1) + 1e-300))[:, None]
-        counts = np.zeros((n, k))
+        each *= (val / (each.sum(axis=1) + 1e-30))[:, None]
+        counts = np.zeros((n, k), topics.dtype)
         counts[full] = np.add.reduceat(each, ptr[:-1][full], axis=0)
         share = counts + alpha
         share /= share.sum(axis=1, keepdims=True)
@@ -148,7 +153,7 @@ def statistics(model: Model, table, subjects: int, mask: np.ndarray | None = Non
     """Expected counts per term and topic, and per term the documents' shares of each subject."""
     ptr, col, _ = table
     each, counts = expected(model.topics, table, subjects, mask)
-    v = len(model.index)
+    v = len(model.topics)
     topic = np.stack([np.bincount(col, each[:, k], v) for k in range(each.shape[1])], axis=1)
     own = counts[:, :subjects]
     own = own / np.maximum(own.sum(axis=1, keepdims=True), 1.0)
@@ -264,12 +269,46 @@ class Fitted:
         return {name: list(words[np.argsort(-score[:, k])[:count]]) for k, name in enumerate(self.names)}
 
 
-def _chosen(lang: str | None, found: dict, models: dict[str, Model]) -> str:
-    return lang or max(LANGUAGES, key=lambda x: sum(w in models[x].index for w in found))
+ENCODED = "doc bigint, lang int, sure boolean, cols array<int>, vals array<float>"
 
 
-def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> Fitted:
-    """Fit the models of all languages over stored features of all documents."""
+def encoded(feats: DataFrame, indexes: dict[str, dict[str, int]]) -> DataFrame:
+    """Features with term ids instead of terms. A text without function words gets the language that knows most of its terms."""
+    shared = feats.sparkSession.sparkContext.broadcast(indexes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                rows = []
+                part = batch.iloc[at : at + 1000]
+                for doc, lang, found, counts in zip(part["doc"], part["lang"], part["terms"], part["counts"], strict=True):
+                    sure = isinstance(lang, str)
+                    lang = lang if sure else max(LANGUAGES, key=lambda x: sum(w in shared.value[x] for w in found))
+                    index = shared.value[lang]
+                    pairs = [(k, n) for w, n in zip(found, counts, strict=True) if (k := index.get(w)) is not None]
+                    rows.append((doc, LANGUAGES.index(lang), sure, [k for k, _ in pairs], [float(n) for _, n in pairs]))
+                yield pd.DataFrame(rows, columns=["doc", "lang", "sure", "cols", "vals"])
+
+    return feats.mapInPandas(run, ENCODED)
+
+
+def tables(batch: pa.RecordBatch, rows: int = 2000):
+    """(language, row numbers, csr table) of slices of an Arrow batch of encoded documents; no value becomes a Python object."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        lang = part.column("lang").to_numpy(zero_copy_only=False)
+        cols, vals = part.column("cols"), part.column("vals")
+        ends = cols.offsets.to_numpy()
+        size = np.diff(ends)
+        flat, count = cols.flatten().to_numpy(), vals.flatten().to_numpy()
+        for k in np.unique(lang):
+            mine = lang == k
+            entry = np.repeat(mine, size)
+            yield LANGUAGES[k], at + np.flatnonzero(mine), (np.concatenate([[0], np.cumsum(size[mine])]), flat[entry].astype(np.int64), count[entry])
+
+
+def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted, DataFrame]:
+    """Fit the models of all languages over stored features of all documents; the models and the encoded documents."""
     spark = feats.sparkSession
     names = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1000).collect()]
     place = {s: k for k, s in enumerate(names)}
@@ -301,68 +340,59 @@ def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> Fitted:
         part = words[words["lang"] == lang]
         at = [models[lang].index[w] for w in part["term"]]
         docs_of[lang][at] = part["n"].to_numpy()
+    coded = store(encoded(feats, {lang: m.index for lang, m in models.items()}), "subject_ids").df
     width = subjects + BACKGROUND + subjects
-    schema = "lang string, term int, " + ", ".join(f"c{k} double" for k in range(width))
+    schema = "lang int, term int, " + ", ".join(f"c{k} double" for k in range(width))
     for turn in range(ITERATIONS):
-        shared = spark.sparkContext.broadcast({lang: (m.index, m.topics.astype(np.float32)) for lang, m in models.items()})
+        shared = spark.sparkContext.broadcast({lang: m.topics.astype(np.float32) for lang, m in models.items()})
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            now = {lang: Model(i, t.astype(float), t, t) for lang, (i, t) in shared.value.items()}
-            sums = {lang: np.zeros((len(m.index), width)) for lang, m in now.items()}
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            now = {lang: Model({}, t, t, t) for lang, t in shared.value.items()}
+            sums = {lang: np.zeros((len(t), width)) for lang, t in shared.value.items()}
             for batch in batches:
-                for at in range(0, len(batch), 1000):
-                    part = batch.iloc[at : at + 1000]
-                    for lang, group in part.groupby("lang"):
-                        found = [dict(zip(t, c, strict=True)) for t, c in zip(group["terms"], group["counts"], strict=True)]
-                        sums[lang] += np.concatenate(statistics(now[lang], csr(found, now[lang].index), subjects), axis=1)
+                for lang, _, table in tables(batch):
+                    sums[lang] += np.concatenate(statistics(now[lang], table, subjects), axis=1)
             for lang, total in sums.items():
                 at = np.flatnonzero(total.any(axis=1))
-                out = pd.DataFrame(total[at], columns=[f"c{k}" for k in range(width)])
-                out.insert(0, "term", at.astype(np.int32))
-                out.insert(0, "lang", lang)
-                yield out
+                arrays = [pa.array(np.full(len(at), LANGUAGES.index(lang), dtype=np.int32)), pa.array(at.astype(np.int32)), *[pa.array(total[at, k]) for k in range(width)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "term", *[f"c{k}" for k in range(width)]])
 
-        sums = feats.where("lang is not null").select("lang", "terms", "counts").mapInPandas(run, schema).groupBy("lang", "term").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
+        sums = coded.where("sure").select("lang", "cols", "vals").mapInArrow(run, schema).groupBy("lang", "term").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
         got = sums.toArrow().to_pandas()
         shared.destroy()
         for lang, m in models.items():
             total = np.zeros((len(m.index), width))
-            part = got[got["lang"] == lang]
+            part = got[got["lang"] == LANGUAGES.index(lang)]
             total[part["term"].to_numpy()] = part.iloc[:, 2:].to_numpy()
             table, mask = own[lang]
             if len(table[0]) > 1:
                 total += np.concatenate(statistics(m, table, subjects, mask), axis=1)
             models[lang] = updated(m, total[:, : subjects + BACKGROUND], total[:, subjects + BACKGROUND :], docs_of[lang], subjects, 2 <= turn < ITERATIONS - 2)
-    return Fitted(names, models)
+    return Fitted(names, models), coded
 
 
-def assigned(feats: DataFrame, fitted: Fitted) -> DataFrame:
+def assigned(coded: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id, subject, share: the subjects of each document and their shares of its subject tokens."""
-    subjects, names = len(fitted.names), fitted.names
-    shared = feats.sparkSession.sparkContext.broadcast({lang: (m.index, m.topics.astype(np.float32)) for lang, m in fitted.models.items()})
+    subjects, names = len(fitted.names), np.asarray(fitted.names, dtype=object)
+    shared = coded.sparkSession.sparkContext.broadcast({lang: m.topics.astype(np.float32) for lang, m in fitted.models.items()})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = {lang: Model(i, t.astype(float), t, t) for lang, (i, t) in shared.value.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                found = [dict(zip(t, c, strict=True)) for t, c in zip(part["terms"], part["counts"], strict=True)]
-                langs = np.asarray([_chosen(x if isinstance(x, str) else None, f, now) for x, f in zip(part["lang"], found, strict=True)], dtype=object)
-                for lang in set(langs):
-                    rows = np.flatnonzero(langs == lang)
-                    _, counts = expected(now[lang].topics, csr([found[k] for k in rows], now[lang].index), subjects)
-                    doc, subject = np.nonzero(assign(counts, subjects))
-                    own = counts[:, :subjects]
-                    share = own[doc, subject] / own.sum(axis=1)[doc]
-                    yield pd.DataFrame({"doc_id": part["doc"].to_numpy()[rows[doc]], "subject": [names[k] for k in subject], "share": share})
+            docs = batch.column("doc").to_numpy()
+            for lang, rows, table in tables(batch):
+                _, counts = expected(shared.value[lang], table, subjects)
+                doc, subject = np.nonzero(assign(counts, subjects))
+                own = counts[:, :subjects]
+                share = own[doc, subject] / own.sum(axis=1)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[rows[doc]]), pa.array(list(names[subject]), pa.string()), pa.array(share.astype(float))], names=["doc_id", "subject", "share"])
 
-    return feats.mapInPandas(run, "doc_id bigint, subject string, share double")
+    return coded.mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
 def subject_areas(docs: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
     """doc_id, subject, share."""
-    feats = store(features(docs), "subject_terms").df
-    return assigned(feats, fit(feats, examples, areas))
+    fitted, coded = fit(store(features(docs), "subject_terms").df, examples, areas)
+    return assigned(coded, fitted)
 
 
 def found(docs: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
