@@ -63,7 +63,7 @@ _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 def singular(word: str) -> str:
     word = word.lower()
     while len(word) > 3 and word.endswith("s"):
-        word = word[:-2] if word.endswith("es") and len(word) > 4 else word[:-1]
+        word = word[:-2] if re.search("(?:s|x|z|ch|sh)es$", word) and len(word) > 4 else word[:-1]
     return word
 
 
