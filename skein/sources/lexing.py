@@ -264,10 +264,11 @@ def _body_end(src: Source, head: int, at: int) -> int:
             row = masked[src.starts[k] : src.starts[k + 1] if k + 1 < len(src.starts) else len(masked)]
             raw = src.text[src.starts[k] : src.starts[k] + len(row)]
             if raw.strip():
-                # text inside a string may stand anywhere
+                # text inside a string may stand anywhere; a comment out here belongs to what follows
                 if row.strip() and len(row) - len(row.lstrip(" \t")) <= indent:
                     break
-                last = k + 1
+                if row.strip() or not raw.lstrip().startswith("#") or len(raw) - len(raw.lstrip(" \t")) > indent:
+                    last = k + 1
             k += 1
         return src.starts[last] if last < len(src.starts) else len(masked)
     brace = masked.find("{", head)
