@@ -179,7 +179,7 @@ def test_links(nodes: DataFrame) -> DataFrame:
 def imported_names(text) -> Column:
     """The callable names an import statement binds; none for namespaces, whole modules and types."""
     t = F.trim(text)
-    first = lambda x: F.regexp_extract(F.trim(x), r"^(?:type\s+\S+|([A-Za-z_$][\w$]*))", 1)
+    first = lambda x: F.regexp_extract(x, r"^\s*(?:type\s+\S+|([A-Za-z_$][\w$]*))", 1)
     listed = lambda s: F.filter(F.transform(F.split(s, ","), first), lambda n: ~n.isin("", "self"))
     python = F.regexp_extract(t, r"(?s)^from\s+\S+\s+import\s+\(?([^)]*)\)?", 1)
     braces = F.regexp_extract(t, r"(?s)^import\s+[^'\"]*?\{([^}]*)\}", 1)
@@ -248,7 +248,11 @@ def topics(nodes: DataFrame, detected: list[str]) -> DataFrame:
 
 def socket_events(nodes: DataFrame) -> DataFrame:
     """Functions produce or consume every event they name, but those of the connection itself."""
-    found = [F.transform(P.all_quoted_after("body", pattern), lambda e, d=direction: F.struct(e.alias("event"), F.lit(d).alias("direction"))) for pattern, direction in schema.SOCKET_RULES]
+
+    def named(direction):
+        return lambda e: F.struct(e.alias("event"), F.lit(direction).alias("direction"))
+
+    found = [F.transform(P.all_quoted_after("body", pattern), named(direction)) for pattern, direction in schema.SOCKET_RULES]
     hits = nodes.where("kind = 'function' and body is not null").select("id", "root", F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("e"))
     hits = hits.where(~F.col("e.event").isin("", *schema.LIFECYCLE_EVENTS))
     return edges(hits.withColumn("target", F.concat_ws(":", "root", F.lit("events"), "e.event", F.lit("event"))), "id", "target", F.col("e.direction"))
@@ -262,10 +266,13 @@ def boundaries(nodes: DataFrame, configs: list[dict]) -> DataFrame:
     """
     import re
 
+    def names(text):
+        return lambda x: x.contains(text)
+
     out = None
     files = nodes.where("kind = 'import'").groupBy("root", "file").agg(F.collect_set("name").alias("imported"))
     for c in configs:
-        gate = reduce(lambda a, b: a | b, [F.exists("imported", lambda x, t=t: x.contains(t)) for t in c["imports"]]) if c.get("imports") else F.lit(True)
+        gate = reduce(lambda a, b: a | b, [F.exists("imported", names(t)) for t in c["imports"]]) if c.get("imports") else F.lit(True)
         part = nodes.where((F.col("kind") == "function") & (F.lower("language") == c["language"].lower())).join(files, ["root", "file"], "left").where(F.coalesce(gate, F.lit(False)))
         call = r"(?<![\w.])" + ".*".join(map(re.escape, c["pattern"].split("*"))).replace(".*", r"[\w.]*")
         if c.get("decorator"):

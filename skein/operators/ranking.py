@@ -11,10 +11,8 @@ from pyspark.sql import Window as W
 from skein import schema
 from skein.functions import predicates as P
 from skein.operators.graph import Graph
-from skein.session import store
+from skein.session import cut, store
 
-#: Rounds after which ranks are written down.
-CHECKPOINT = 5
 #: Coupled pairs up to which communities are refined on the driver.
 DRIVER_PAIRS = 500_000
 
@@ -42,13 +40,12 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85) -> DataF
     flow = store(flow.join(out.withColumnRenamed("id", "source_id"), "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("w") / F.col("out_degree")).alias("share")), "flow").df
     nodes = store(ids.df.join(out, "id", "left").select("id", F.col("out_degree").isNull().alias("dangling")), "rank_nodes").df
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(1, iterations + 1):
+    for _ in range(iterations):
         passed = ranks.join(flow, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("passed"))
         loose = ranks.where("dangling").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("loose"))
         new = F.lit((1 - damping) / n) + damping * (F.coalesce("passed", F.lit(0.0)) + loose.scalar())
-        ranks = nodes.join(passed, "id", "left").select("id", "dangling", new.alias("rank"))
-        if k % CHECKPOINT == 0:
-            ranks = store(ranks, "ranks").df
+        # three branches read the ranks: they are written down each round
+        ranks = cut(nodes.join(passed, "id", "left").select("id", "dangling", new.alias("rank")), "ranks")
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.select("id", (F.col("rank") / top.scalar()).alias("importance"))
 

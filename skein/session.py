@@ -41,6 +41,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores; a scan of many files is left as it is.
+
+    For rows that a Python stage is to read: a small file is one task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back: the lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Stored:
     """A DataFrame written to the scratch folder: short lineage, safe from lost executors."""

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from skein import schema
+from skein.session import spread
 from skein.sources import lexing
 from skein.sources.markdown import chunks
 
@@ -347,7 +348,7 @@ def dockerfile(out: Out, text: str) -> None:
 
 def _yaml_keys(text: str) -> list[tuple[str, int, str]]:
     """(key, line, value) at the top level of a YAML text."""
-    return [(m[1].strip("\"'"), k, m[2].strip()) for k, line in enumerate(text.splitlines(), 1) if (m := re.match(r"([\w./$\"'-][^:#]*?)\s*:(?:\s+(.*))?$", line))]
+    return [(m[1].strip("\"'"), k, (m[2] or "").strip()) for k, line in enumerate(text.splitlines(), 1) if (m := re.match(r"([\w./$\"'-][^:#]*?)\s*:(?:\s+(.*))?$", line))]
 
 
 def yaml(out: Out, text: str) -> None:
@@ -509,7 +510,7 @@ def extract(files: DataFrame) -> DataFrame:
                     frame[c] = frame[c].astype("Int32")
                 yield frame
 
-    return files.where("body is not null and body <> ''").select("root", "file", "language", "body").mapInPandas(run, ROWS)
+    return spread(files.where("body is not null and body <> ''").select("root", "file", "language", "body")).mapInPandas(run, ROWS)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:

@@ -20,10 +20,14 @@ def excluded(path: Column, rules: list[str]) -> Column:
     """A directory name (x/, x*/), an ending (*.x), a prefix, or a whole path."""
     parts = F.split(path, "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+    def begins(prefix):
+        return lambda folder: folder.startswith(prefix)
+
     tests = []
     for rule in rules:
         if rule.endswith("*/"):
-            tests.append(F.exists(folders, lambda d, p=rule[:-2]: d.startswith(p)))
+            tests.append(F.exists(folders, begins(rule[:-2])))
         elif rule.endswith("/") and "/" not in rule[:-1]:
             tests.append(F.array_contains(folders, rule[:-1]))
         elif rule.startswith("*."):
