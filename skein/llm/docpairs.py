@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.llm.triviality import is_trivial
+from skein.session import spread
 from skein.sources import lexing
 
 _STRING = re.compile(r"(?i)^([rbuft]{0,2})('''|\"\"\"|'|\")")
@@ -124,7 +125,7 @@ def function_docs(nodes: DataFrame, bodies: bool = True) -> DataFrame:
                     rows.append((root, file, p["name"], p["line_start"], p["line_end"], p["signature"], p["body"] if bodies else None, p["doc"] if bodies else None, p["trivial"]))
             yield pd.DataFrame(rows, columns=names)
 
-    return _sources(nodes).mapInPandas(extract, PAIRS)
+    return spread(_sources(nodes)).mapInPandas(extract, PAIRS)
 
 
 def found(nodes: DataFrame) -> DataFrame:

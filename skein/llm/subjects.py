@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skein.session import store
+from skein.session import spread, store
 
 #: Labelled examples used at most; terms of a language kept at most (the most frequent), and the least number of documents of a term.
 EXAMPLES, VOCABULARY, LEAST_DOCS = 20_000, 40_000, 3
@@ -252,7 +252,7 @@ def features(docs: DataFrame) -> DataFrame:
                         rows.append((doc, language(found), list(found), list(found.values())))
                 yield pd.DataFrame(rows, columns=["doc", "lang", "terms", "counts"])
 
-    return docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, FEATURES)
+    return spread(docs.where("text is not null and doc_id is not null").select("doc_id", "text")).mapInPandas(run, FEATURES)
 
 
 @dataclass

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import spread
+
 #: Where the rank files lie, and the vocabulary used where no other is named.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Slices kept in a worker's cache before it is emptied.
@@ -185,7 +187,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", offset
                     out |= {"slice_start": [x[1][:-1] for x in done], "slice_ids": [np.asarray(x[2], dtype=np.int32) for x in done]}
                 yield pd.DataFrame(out)
 
-    return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col).alias("_text"))).mapInPandas(run, schema)
 
 
 def lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -198,7 +200,7 @@ def lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         for batch in batches:
             yield pd.DataFrame({id_col: batch[id_col], "tokens": np.asarray([len(encoder.encode(t if isinstance(t, str) else None)) for t in batch["_text"]], dtype=np.int32)})
 
-    return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, f"{id_col} {id_type}, tokens int")
+    return spread(df.select(F.col(id_col), F.col(text_col).alias("_text"))).mapInPandas(run, f"{id_col} {id_type}, tokens int")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
