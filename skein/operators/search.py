@@ -64,40 +64,60 @@ def unit(v) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+#: Queries that one pass over all vectors answers.
+QUERY_BLOCK = 20_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Query, id, score (cosine, at least 0), place: the k best of all vectors for each query.
 
-    ``vectors`` has id, embedding; ``queries`` has query, embedding. The stated
-    query set meets all vectors in blocks: each task scores its vectors against
-    one block of queries with a matrix product and keeps k of each, so what is
-    shuffled is k rows for each query and task. Ties go to the smaller id.
-    Vectors that are null or of another length are left out.
+    ``vectors`` has id, embedding; ``queries`` has query, embedding. The stated query
+    set meets all vectors in blocks of about ``block`` queries, one pass for each: a task
+    multiplies its vectors with the block's matrix and keeps k of each query, so what is
+    shuffled is k rows for each query and task. Ties go to the smaller id. Vectors
+    that are null, zero or of another length than the queries are left out.
     """
-    import numpy as np
-
-    asked = queries.where("query is not null and size(embedding) > 0").select("query", unit(F.col("embedding")).alias("embedding")).where("embedding is not null").toArrow().to_pandas()
+    good = queries.where("query is not null and size(embedding) > 0").select("query", unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
+    size, count = good.agg(F.max(F.size("embedding")), F.count("*")).first()
     out_schema = f"query {queries.schema['query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    if not len(asked):
+    if not count:
         return vectors.sparkSession.createDataFrame([], out_schema + ", place int")
-    names, matrix = asked["query"].to_numpy(), np.stack(asked["embedding"].to_numpy())
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    blocks = -(-count // block)
+    found = None
+    for at in range(blocks):
+        asked = good.where((F.size("embedding") == size) & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == at)).toArrow().to_pandas()
+        if len(asked):
+            part = _best(vectors, asked, k, size, out_schema)
+            found = part if found is None else found.unionByName(part)
+    w = W.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _best(vectors: DataFrame, asked: pd.DataFrame, k: int, size: int, out_schema: str) -> DataFrame:
+    """The k best of each task's vectors for one block of queries."""
+    import numpy as np
+
+    shared = vectors.sparkSession.sparkContext.broadcast((asked["query"].to_numpy(), np.stack(asked["embedding"].to_numpy())))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
+        best, best_ids = np.full((len(names), 0), -1.0), None
         for batch in batches:
-            v = np.stack([np.asarray(x, dtype=float) for x in batch["embedding"]])
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            ids = batch["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            v, ids = v[order], ids[order]
-            for at in range(0, len(names), block):
-                s = np.round(matrix[at : at + block] @ v.T, 12)
-                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names[at : at + block], keep.shape[1]), "id": ids[keep].ravel(), "score": np.maximum(np.take_along_axis(s, keep, axis=1), 0).ravel()})
-
-    good = vectors.where(F.size("embedding") == matrix.shape[1]).where(dot(F.col("embedding"), F.col("embedding")) > 0).select("id", "embedding")
-    w = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    return good.mapInPandas(score, out_schema).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+            for start in range(0, len(batch), 2000):
+                part = batch.iloc[start : start + 2000]
+                v = np.stack([np.asarray(x, dtype=float) for x in part["embedding"]])
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                s = np.maximum(np.round(matrix @ v.T, 12), 0)
+                ids = np.broadcast_to(part["id"].to_numpy(), s.shape)
+                both = np.concatenate([best, s], axis=1)
+                both_ids = ids if best_ids is None else np.concatenate([best_ids, ids], axis=1)
+                keep = np.lexsort((both_ids, -both), axis=1)[:, :k]
+                best, best_ids = np.take_along_axis(both, keep, axis=1), np.take_along_axis(both_ids, keep, axis=1)
+        if best_ids is not None:
+            yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": best_ids.ravel(), "score": best.ravel()})
+
+    good = vectors.where(F.size("embedding") == size).where(dot(F.col("embedding"), F.col("embedding")) > 0).select("id", "embedding")
+    return good.mapInPandas(score, out_schema)
 
 
 def squash(score, file) -> Column:
@@ -106,19 +126,27 @@ def squash(score, file) -> Column:
     return F.when(P.is_test_path(file), s * 0.7).otherwise(s)
 
 
-def fuse(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of two lists (id, score): id, score."""
-    ranked = lambda d, n: d.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias(n))
-    both = ranked(left, "a").join(ranked(right, "b"), "id", "full")
+#: Places of each list that count in a fusion.
+DEPTH = 1000
+
+
+def placed(hits: DataFrame, count: int) -> DataFrame:
+    """The ``count`` best of a list (id, score) with their place; ties go to the smaller id. Only these meet in one task."""
+    order = [F.desc("score"), F.asc("id")]
+    return hits.orderBy(*order).limit(count).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def fuse(left: DataFrame, right: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Reciprocal rank fusion of the best of two lists (id, score): id, score."""
+    both = placed(left, depth).select("id", F.col("place").alias("a")).join(placed(right, depth).select("id", F.col("place").alias("b")), "id", "full")
     part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
     return both.select("id", (part("a") + part("b")).alias("score"))
 
 
 def supplement(hits: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """Name matches that retrieval missed take up to min(limit, 10) of the last places."""
-    more = names.join(hits.select("id"), "id", "left_anti").withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).where(F.col("place") <= min(limit, 10))
-    count = more.agg(F.count("*").alias("n"))
-    kept = hits.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).where(F.col("place") <= F.greatest(limit - count.scalar(), F.lit(0)))
+    more = placed(names.join(hits.select("id"), "id", "left_anti"), min(limit, 10))
+    kept = placed(hits, limit).where(F.col("place") <= F.greatest(limit - more.agg(F.count("*")).scalar(), F.lit(0)))
     return kept.select("id", "score", F.lit(0).alias("source_rank")).unionByName(more.select("id", "score", F.lit(1).alias("source_rank")))
 
 
@@ -189,7 +217,6 @@ def upsert_embeddings(stored: DataFrame, current: DataFrame) -> tuple[DataFrame,
     return new, stale, kept
 
 
-def resolve_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hits with their nodes, their order kept by the column place."""
-    ranked = hits.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id")))
-    return bounded_join(nodes, store(ranked, "hits"), ["id"])
+def resolve_hits(hits: DataFrame, nodes: DataFrame, limit: int = DEPTH) -> DataFrame:
+    """The best hits with their nodes, their order kept by the column place."""
+    return bounded_join(nodes, store(placed(hits, limit), "hits"), ["id"])

@@ -81,11 +81,27 @@ r(id, hop) as (select id, 0 from {seed} union select to_id, hop + 1 from r join
 select id, min(hop)::int hop from r where id not in (select id from {seed}) group by 1"""
 
 
+def _cyclic(g: G.Graph) -> DataFrame:
+    """The smallest id of two that call or need each other."""
+    e = g.edges.where(F.col("edge_type").isin(schema.CYCLE_EDGES)).where("source_id <> target_id")
+    back = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    return e.join(back, ["source_id", "target_id"], "left_semi").agg(F.min("source_id").alias("id"))
+
+
 def g06_component_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The component of the node with most calls."""
+    """The component of a node that lies on a cycle."""
+    g = G.load(spark, sf_dir).stored()
+    node = _cyclic(g).first()[0]
+    return G.component_of(g.edges, node) if node else g.nodes.select("id").where("false")
+
+
+def g18_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, id of a shortest path from the busiest caller to one of what is farthest from it."""
     g = G.load(spark, sf_dir).stored()
-    comps = G.components(g.edges)
-    return comps.join(_caller(g), "id", "left_semi").select("component").join(comps, "component").select("id")
+    start = _caller(g)
+    far = G.distances(g.edges, start).orderBy(F.desc("hop"), "id").first()
+    path = G.shortest_path(g.edges, far["source"], far["id"]) if far else []
+    return spark.createDataFrame(list(enumerate(path, 1)), "step int, id string")
 
 
 def g05_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +237,8 @@ def o01_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.operators.search import relevance_order
 
     n = G.load(spark, sf_dir).nodes.where(P.name_or_signature("name", "signature", "batch"))
-    return n.select("*", F.row_number().over(W.orderBy(*relevance_order("batch"))).alias("place")).where("place <= 50").select("id", "place")
+    top = n.orderBy(*relevance_order("batch")).limit(50)
+    return top.select("*", F.row_number().over(W.orderBy(*relevance_order("batch"))).alias("place")).select("id", "place")
 
 
 def a06_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +280,11 @@ QUERIES = {
     "g03_reachable": (_reach("outgoing", _caller, 3), _reach_sql("source_id", "target_id", CALLER, "caller", 3)),
     "g04_impact": (_reach("incoming", _hub, 3, schema.IMPACT_EDGES), _reach_sql("target_id", "source_id", HUB, "hub", 3, schema.IMPACT_EDGES)),
     "g05_components": (g05_components, None),
-    "g06_component_of": (g06_component_of, None),
+    "g06_component_of": (g06_component_of, f"""with recursive {CUR}, c as (select distinct source_id a, target_id b from cur_e where edge_type in ('calls', 'depends_on')),
+node as (select min(x.a) id from c x join c y on x.a = y.b and x.b = y.a where x.a <> x.b),
+f(id) as (select id from node union select b from f join c on a = id), r(id) as (select id from node union select a from r join c on b = id)
+select id from f join r using (id) where id <> (select id from node)"""),
+    "g18_shortest_path": (g18_shortest_path, None),
     "g07_path_lengths": (_reach("outgoing", _caller, 6, ["calls"]), _reach_sql("source_id", "target_id", CALLER, "caller", 6, ["calls"])),
     "g08_pagerank": (g08_pagerank, _pagerank_sql()),
     "g09_edge_weights": (g09_edge_weights, f"with {CUR} select edge_type, count(*) n, round(sum(coalesce(weight, 0)), 3) weight from cur_e left join {WEIGHTS} using (edge_type) group by 1"),

@@ -218,6 +218,16 @@ def g24_outcome_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("outcome").agg(F.count("*").alias("commits")).join(symbols, "outcome", "left").select("outcome", "commits", F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
 
+def r20_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much shorter all function bodies become, by language."""
+    from skein.functions.minify import minified
+
+    n = table(spark, sf_dir, "nodes").where("kind = 'function' and body <> ''")
+    both = minified(n).select("id", F.length("body").alias("after")).groupBy("id").agg(F.max("after").alias("after"))
+    before = n.groupBy("id").agg(F.max(F.length("body")).alias("before"), F.max(F.lower("language")).alias("language"))
+    return before.join(both, "id").groupBy("language").agg(F.count("*").alias("functions"), F.round(F.sum("after") / F.sum("before"), 4).alias("kept"))
+
+
 def r03_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol search by name with filters, sort and limit, through the API."""
     from skein.plans import api
@@ -242,13 +252,14 @@ QUERIES = {
 from cur_s where kind = 'function' and (contains(lower(name), 'batch') or contains(lower(coalesce(signature, '')), 'batch'))) where place <= 20"""),
     "r04_keyword": (r04_keyword, f"with {BM25} select id, score from bm"),
     "r05_semantic": (r05_semantic, f"with s as (select a.vec_id query, b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id % 100 = 0) select query, id, round(greatest(score, 0), 6) score, place from (select *, row_number() over (partition by query order by greatest(score, 0) desc, id)::int place from s) where place <= 10"),
-    "r06_hybrid": (r06_hybrid, f"with {BM25}, v as (select b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id = 0), n as (select id, round(greatest(score, 0), 6) score from (select *, row_number() over (order by greatest(score, 0) desc, id) p from v) where p <= 50), x as (select id, row_number() over (order by score desc, id) a from bm), y as (select id, row_number() over (order by score desc, id) b from n) select coalesce(x.id, y.id) id, round(coalesce(1.0 / (60 + a), 0) + coalesce(1.0 / (60 + b), 0), 8)::double score from x full join y on x.id = y.id"),
+    "r06_hybrid": (r06_hybrid, f"with {BM25}, v as (select b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id = 0), n as (select id, round(greatest(score, 0), 6) score from (select *, row_number() over (order by greatest(score, 0) desc, id) p from v) where p <= 50), x as (select id, a from (select id, row_number() over (order by score desc, id) a from bm) where a <= 1000), y as (select id, row_number() over (order by score desc, id) b from n) select coalesce(x.id, y.id) id, round(coalesce(1.0 / (60 + a), 0) + coalesce(1.0 / (60 + b), 0), 8)::double score from x full join y on x.id = y.id"),
     "r07_squash": (r07_squash, f"with {CUR_S} select id, round(importance / (1 + importance) * case when {_test_path('file_path')} then 0.7 else 1 end, 6) score from cur_s where importance is not null"),
     "r10_supplement": (r10_supplement, f"with {CUR_S}, h as (select id, importance score from cur_s where contains(lower(signature), 'batch') and importance is not null order by 2 desc, 1 limit 40), m as (select id, coalesce(importance, 0) score from cur_s where contains(lower(name), 'batch') and id not in (select id from h) order by 2 desc, 1 limit 10) select id, 0 source_rank from (select id, row_number() over (order by score desc, id) p from h) where p <= 40 - (select count(*) from m) union all select id, 1 from m"),
     "r13_sections": (r13_sections, f"with {SECTIONS} select distinct id, round((case when contains(head, 'ledger') then case when head = 'ledger' then 1.0 else 0.7 end else 0.4 end + 0.08 + least((length(body) - length(replace(body, 'ledger', ''))) / 6 * 0.02, 0.10))::double, 6) score from s where contains(head, 'ledger') or contains(body, 'ledger')"),
     "r14_section_points": (r14_section_points, f"with {SECTIONS} select distinct id, case when raw = 'ledger' then 10 when contains(raw, 'ledger') then 5 else 0 end + case when contains(body, 'ledger') then 2 else 0 end + 5 points from s where contains(raw, 'ledger') or contains(body, 'ledger')"),
     "r15_embedding_text": (r15_embedding_text, f"with {CUR_S} select id, {EMBED} digest from cur_s where kind not in ({NOT_EMBEDDED})"),
     "r17_hashed_vectors": (r17_hashed_vectors, None),
+    "r20_minified": (r20_minified, None),
     "s20_upsert": (s20_upsert, f"""with {CUR_S}, bv as (select s.root_id, max(scan_version) v from symbols s join sv on sv.root_id = s.root_id and s.scan_version < sv.v group by 1),
 b as (select id, {EMBED} h from (select s.*, row_number() over (partition by s.id order by case when abs(s.updated_at) >= 100000000000 then s.updated_at else s.updated_at * 1000 end desc) n from symbols s join bv on bv.root_id = s.root_id and bv.v = s.scan_version) where n = 1),
 a as (select id, {EMBED} h from cur_s)

@@ -32,9 +32,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote to the scratch folder. DataFrames that read it can't be evaluated any more."""
+    while _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -215,12 +215,16 @@ def _lexed(out: Out, text: str) -> None:
         while k in decorators:
             above.append(src.text[src.starts[k] : src.starts[k + 1]].strip())
             k -= 1
+        doc = []
+        while k >= 0 and src.text[src.starts[k] : src.starts[k + 1]].strip() and not src.masked[src.starts[k] : src.starts[k + 1]].strip():
+            doc.append(re.sub(r"^\s*(?:/\*+!?|\*+/|\*|//[/!]*|#+)\s?|\s*\*+/\s*$", "", src.text[src.starts[k] : src.starts[k + 1]]).strip())
+            k -= 1
         body = src.text[src.starts[line] : end]
         lead = src.text[src.starts[line] : at]
         test = any(re.search(r"\btest\b|@Test\b|\[Test\]|\[Fact\]", d) for d in above) or (out.language == "go" and name.startswith("Test"))
         inside = [d for d in defined if d[0] < at < d[1]]
         owner = max(inside, default=None, key=lambda d: d[0])
-        fid = out.node(name, "function", line + 1, src.line(max(end - 1, at)) + 1, re.sub(r"\s+", " ", src.text[src.starts[line] : head]).strip(), body, cyclomatic=1 + len(_BRANCH.findall(src.masked[head:end])), decorators=", ".join(reversed(above)), is_async=bool(re.search(r"\basync\b", lead)) or None, is_static=bool(re.search(r"\bstatic\b", lead)) or None, is_test=test or None, exported=bool(re.match(r"\s*(?:pub|export|public)\b", lead)) or None, parent_scope=owner[2] if owner else None)
+        fid = out.node(name, "function", line + 1, src.line(max(end - 1, at)) + 1, re.sub(r"\s+", " ", src.text[src.starts[line] : head]).strip(), body, cyclomatic=1 + len(_BRANCH.findall(src.masked[head:end])), decorators=", ".join(reversed(above)), is_async=bool(re.search(r"\basync\b", lead)) or None, is_static=bool(re.search(r"\bstatic\b", lead)) or None, is_test=test or None, exported=bool(re.match(r"\s*(?:pub|export|public)\b", lead)) or None, parent_scope=owner[2] if owner else None, doc_comment="\n".join(x for x in reversed(doc) if x))
         out.edge(owner[3] if owner else module, fid, "defines")
     for m in re.finditer(_IMPORTS[family], lexing_comments_blank(src)):
         for part in (g for g in m.groups() if g):
@@ -233,6 +237,10 @@ def _lexed(out: Out, text: str) -> None:
     for m in re.finditer(_CONSTS[family], src.masked):
         name = next(g for g in m.groups() if g)
         out.edge(module, out.node(name, "const", src.line(m.start()) + 1, signature=src.text[m.start() : src.text.find("\n", m.end()) if src.text.find("\n", m.end()) > 0 else len(text)].strip()[:200]), "defines")
+    if family in ("rust", "javascript"):
+        for m in re.finditer(r"(?m)^\s*pub\s+use\s+[^;]*?(?:\{([^}]*)\}|::(\w+))\s*;|^export\s*(?:type\s*)?\{([^}]*)\}", src.masked):
+            for name in re.findall(r"([A-Za-z_]\w*)(?:\s+as\s+\w+)?", m[1] or m[2] or m[3] or ""):
+                out.edge(module, out.id(name, "function" if name[0].islower() else "struct"), "re_exports")
     if family == "javascript":
         for m in re.finditer(r"\b(\w+)\.(get|post|put|delete|patch)\(\s*[\"'`](/[^\"'`]*)[\"'`]", lexing_comments_blank(src)):
             out.node(f"{m[2].upper()} {m[3]}", "api_endpoint", src.line(m.start()) + 1, http_method=m[2].upper(), http_path=m[3], router_var=m[1])

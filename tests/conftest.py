@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from skein.session import drop_scratch
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -16,3 +18,4 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_scratch(s)

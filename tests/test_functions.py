@@ -117,3 +117,15 @@ def test_vectors_and_upsert(spark):
 @pytest.mark.parametrize("seconds,text", [(3, "just now"), (45, "45s ago"), (200, "3m ago"), (7300, "2h ago"), (200_000, "2d ago")])
 def test_age(seconds, text):
     assert api.age(seconds) == text
+
+
+def test_minify(spark):
+    from skein.functions.minify import minified, minify
+
+    text, legend = minify('def f(self, payload):\n    """Doc."""\n    # note\n    quantity = payload.size  # x\n\n    message = "quantity of"\n    return quantity + quantity.size\n', "a.py")
+    assert text == 'def f(self, payload):\n    quantity = payload.size\n    message = "quantity of"\n    return quantity + quantity.size' and legend == {}
+    text, legend = minify("fn f(x: u8) -> u8 {\n  let counter = x; // c\n  let label = \"x\";\n  counter + counter\n}", "a.rs")
+    assert legend == {"a": "counter"} and text == 'fn f(x: u8) -> u8 {\n  let a = x;\n  let label = "x";\n  a + a\n}'
+    assert minify(None, "a.py") == (None, {}) and minify("", None) == ("", {})
+    df = spark.createDataFrame([("i", "a.py", None, "x = 1  # c\n"), ("j", None, None, None)], "id string, file string, language string, body string")
+    assert {(r["id"], r["body"]) for r in minified(df).collect()} == {("i", "x = 1"), ("j", None)}
