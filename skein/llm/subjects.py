@@ -126,26 +126,34 @@ def csr(docs: list[dict], index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.asarray(ptr), np.asarray(col, dtype=np.int64), np.asarray(val, dtype=float)
 
 
+#: Documents that inference handles at once: their table stays in the processor's cache.
+CHUNK = 128
+
+
 def expected(topics: np.ndarray, table, subjects: int, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Expected topic counts of each (document, term) entry, and of each document: variational inference with the topics fixed."""
     ptr, col, val = table
     n, k = len(ptr) - 1, topics.shape[1]
     alpha = np.asarray([ALPHA_SUBJECT] * subjects + [ALPHA_BACKGROUND] * (k - subjects), dtype=topics.dtype)
-    row = np.repeat(np.arange(n), np.diff(ptr))
-    full = np.flatnonzero(np.diff(ptr) > 0)
-    p = topics[col] if mask is None else topics[col] * mask[row]
-    share = np.tile(alpha / alpha.sum(), (n, 1))
     each, counts = np.zeros((len(col), k), topics.dtype), np.zeros((n, k), topics.dtype)
-    val = val.astype(topics.dtype)
-    for _ in range(INNER):
-        if not len(full):
-            break
-        each = p * share[row]
-        each *= (val / (each.sum(axis=1) + 1e-30))[:, None]
-        counts = np.zeros((n, k), topics.dtype)
-        counts[full] = np.add.reduceat(each, ptr[:-1][full], axis=0)
-        share = counts + alpha
-        share /= share.sum(axis=1, keepdims=True)
+    full = np.flatnonzero(np.diff(ptr) > 0)
+    for at in range(0, len(full), CHUNK):
+        docs = full[at : at + CHUNK]
+        start, size = ptr[docs], ptr[docs + 1] - ptr[docs]
+        first, last = start[0], ptr[docs[-1] + 1]  # documents without terms in between have no entries
+        row = np.repeat(np.arange(len(docs)), size)
+        p = topics[col[first:last]]
+        if mask is not None:
+            p *= mask[docs].astype(topics.dtype)[row]
+        v, begin = val[first:last].astype(topics.dtype), start - first
+        share = np.tile(alpha / alpha.sum(), (len(docs), 1))
+        for _ in range(INNER):
+            weight = v / (np.einsum("ij,ij->i", p, share[row]) + topics.dtype.type(1e-30))
+            own = share * np.add.reduceat(p * weight[:, None], begin, axis=0)
+            last_share, share = share, own + alpha
+            share /= share.sum(axis=1, keepdims=True)
+        counts[docs] = own
+        each[first:last] = p * last_share[row] * weight[:, None]
     return each, counts
 
 
