@@ -56,6 +56,8 @@ PASSING = re.compile(
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _PLACE = re.compile(r"https?://\S+|\S*[/\\]\S*|\S+:\d+(?::\d+)?\b|^\s*\[\w+\]|&\w+;|\b[\w.]+\.(?:py|rs|ts|js|go|java|md|txt|toml|json|ya?ml)\b")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
+_WRAPPED = re.compile(r"(?<=[^\s.!?:])[ \t]*\n[ \t]*(?=[^\s#>*|\[\]{}+=-])")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[.!?]\))\s+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 
 
@@ -72,22 +74,35 @@ _SHARED = {w for w, n in Counter(w for v in _MARKS.values() for w in v).items()
 LANGUAGES = tuple(_MARKS)
 
 
+#: Texts of which none is in a text that PASSING or _PLACE matches: most sentences are spared the patterns.
+_HINTS = ("think of", "code name", "codename", "borrowed", "compare", "deeper meaning", "not quite", "remind", "analogy", "as if it", "much like", "metaphor", " room", "called", "named", "erinnert", "deckname", "verglichen", " vor wie", "nom de", "penser", "pensez", "clave", "recuerda", "como si")
+_PLACE_HINT = re.compile(r"[/\\\[&]|:\d|\.[a-z]")
+
+
 def sentences(text: str) -> list[str]:
-    text = _FENCE.sub("\n", unicodedata.normalize("NFC", text.replace("\r", "\n")))
-    text = re.sub(r"(?<=[^\s.!?:])[ \t]*\n[ \t]*(?=[^\s#>*|\[\]{}+=-])", " ", text)  # wrapped lines
-    return [s for line in text.split("\n") for s in re.split(r"(?<=[.!?])\s+|(?<=[.!?]\))\s+", line) if s.strip()]
+    text = unicodedata.normalize("NFC", text.replace("\r", "\n"))
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    text = _WRAPPED.sub(" ", text)
+    return [s for line in text.split("\n") if line for s in _SENTENCE.split(line) if s and not s.isspace()]
 
 
 def terms(text: str | None) -> Counter:
     """Words and pairs of neighbouring words of a text, without passing mentions."""
-    out: Counter = Counter()
-    for s in sentences(text or ""):
-        if PASSING.search(s):
+    found: list[str] = []
+    if not text:
+        return Counter()
+    low = text.lower()
+    hints = [h for h in _HINTS if h in low]
+    for s in sentences(text):
+        if hints and any(h in s.lower() for h in hints) and PASSING.search(s):
             continue
-        words = [singular(w) for w in _WORD.findall(_CAMEL.sub(" ", _PLACE.sub(" ", s)))]
-        out.update(w for w in words if len(w) > 1)
-        out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
-    return out
+        if _PLACE_HINT.search(s):
+            s = _PLACE.sub(" ", s)
+        words = [singular(w) for w in _WORD.findall(_CAMEL.sub(" ", s))]
+        found += [w for w in words if len(w) > 1]
+        found += [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    return Counter(found)
 
 
 def language(found: Counter) -> str | None:
