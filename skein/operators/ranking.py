@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -40,14 +40,19 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85) -> DataF
     flow = store(flow.join(out.withColumnRenamed("id", "source_id"), "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("w") / F.col("out_degree")).alias("share")), "flow").df
     nodes = store(ids.df.join(out, "id", "left").select("id", F.col("out_degree").isNull().alias("dangling")), "rank_nodes").df
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    base = nodes.select("id", F.lit(0.0).alias("passed"), "dangling")
+    loose = ranks.where("dangling").count() / n
+    top = 1.0
     for _ in range(iterations):
-        passed = ranks.join(flow, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("passed"))
-        loose = ranks.where("dangling").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("loose"))
-        new = F.lit((1 - damping) / n) + damping * (F.coalesce("passed", F.lit(0.0)) + loose.scalar())
-        # three branches read the ranks: they are written down each round
-        ranks = cut(nodes.join(passed, "id", "left").select("id", "dangling", new.alias("rank")), "ranks")
-    top = ranks.agg(F.max("rank").alias("top"))
-    return ranks.select("id", (F.col("rank") / top.scalar()).alias("importance"))
+        moved = ranks.join(flow, "id").select(F.col("target_id").alias("id"), (F.col("rank") * F.col("share")).alias("passed"), F.lit(False).alias("dangling"))
+        got = moved.unionByName(base).groupBy("id").agg(F.sum("passed").alias("passed"), F.bool_or("dangling").alias("dangling"))
+        new = F.lit((1 - damping) / n) + damping * (F.col("passed") + F.lit(loose / n))
+        seen = Observation()
+        sums = [F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"), F.max("rank").alias("top")]
+        # each round is written down, and what it sums up is observed on the way
+        ranks = cut(got.select("id", "dangling", new.alias("rank")).observe(seen, *sums), "ranks")
+        loose, top = seen.get["loose"], seen.get["top"]
+    return ranks.select("id", (F.col("rank") / F.lit(top)).alias("importance"))
 
 
 def coupling(graph: Graph) -> DataFrame:
