@@ -30,7 +30,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from skein.session import spread, store
 
@@ -343,8 +342,9 @@ def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted
     subjects = len(names)
     keys = cognate_keys([(f, y) for _, f, y in labelled], subjects)
     df = feats.where("lang is not null").select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    kept = df.where(F.col("n") >= LEAST_DOCS).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))).where(F.col("r") <= VOCABULARY)
-    words = kept.select("lang", "term", "n", "r").toArrow().to_pandas().sort_values(["lang", "r"])
+    df = store(df.where(F.col("n") >= LEAST_DOCS), "subject_vocabulary").df
+    # a limit keeps the most frequent in the map stage; a window would bring a language's terms to one task
+    words = pd.concat([df.where(F.col("lang") == x).orderBy(F.desc("n"), "term").limit(VOCABULARY).toArrow().to_pandas() for x in LANGUAGES])
     models, own = {}, {}
     for lang in LANGUAGES:
         part = words[words["lang"] == lang]
