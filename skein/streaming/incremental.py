@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from skein.plans import pipeline
+from skein.session import cut
 from skein.sources import extract
 from skein.sources.store import Store
 
@@ -46,10 +48,38 @@ def apply_batch(store: Store, files: DataFrame, batch: int) -> int:
     return version
 
 
-def index_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Watch a folder of Parquet file batches (schema FILES) and keep the store up to date."""
+def refresh(store: Store) -> int:
+    """Run the link passes and the ranking again over all committed nodes; the new version.
+
+    Edges of earlier passes are replaced, so edges to what is gone disappear and the
+    result is that of a full build over the same nodes. Passes that read whole files
+    (routers, routes, manifests) belong to the full build.
+    """
+    base = ["id", "root", "file", "name", "kind", "language", "line_start", "line_end", "signature", "body", "metadata"]
+    nodes = pipeline.typed(store.load("symbols").withColumnsRenamed({"root_id": "root", "file_path": "file"}).select(*base))
+    edges = store.load("edges")
+    if "edge_source" in edges.columns:
+        edges = edges.where("edge_source is null or edge_source <> 'pass'")
+    own = edges.select("source_id", "target_id", "edge_type", F.lit("detected").alias("edge_confidence"), F.lit(None).cast("string").alias("edge_source"))
+    none = store.spark.createDataFrame([], "root string, path string, text string")
+    nodes, linked = pipeline.link(nodes, none)
+    both = own.unionByName(linked.withColumn("edge_source", F.lit("pass")))
+    both = cut(both.groupBy("source_id", "target_id", "edge_type").agg(F.min("edge_confidence").alias("edge_confidence"), F.min(F.coalesce("edge_source", F.lit(""))).alias("edge_source")), "edges")
+    ranked = pipeline.ranked(nodes, both).withColumnsRenamed({"root": "root_id", "file": "file_path"})
+    named = both.withColumn("id", F.concat("source_id", F.lit("->"), "edge_type", F.lit("->"), "target_id")).withColumn("root_id", F.split_part("source_id", F.lit(":"), F.lit(1)))
+    return store.persist(ranked, named)
+
+
+def index_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, available_now: bool = True, relink: bool = False) -> StreamingQuery:
+    """Watch a folder of Parquet file batches (schema FILES) and keep the store up to date; with ``relink`` its links and ranks too."""
     files = spark.readStream.schema(FILES).parquet(source)
-    writer = files.writeStream.foreachBatch(lambda df, n: apply_batch(store, df, n)).option("checkpointLocation", checkpoint)
+
+    def step(batch: DataFrame, number: int) -> None:
+        apply_batch(store, batch, number)
+        if relink:
+            refresh(store)  # also after a batch that comes again: a failure may have come between the two
+
+    writer = files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="900 seconds")).start()
 
 

@@ -192,3 +192,20 @@ def test_stream_batches_give_the_full_result(spark, tmp_path):
     I.apply_batch(whole, spark.createDataFrame([second[0], second[2]], I.FILES), 0)
     for name in ("symbols", "edges"):
         assert {r["id"] for r in whole.load(name).collect()} == {r["id"] for r in store.load(name).collect()}
+
+
+def test_refresh_after_batches_equals_one_over_everything(spark, tmp_path):
+    row = lambda f, body, deleted=False: ("r", f, None, body, deleted)
+    calls = "from lib import seal_tray\n\ndef use():\n    return seal_tray(1)\n"
+    first = [row("a.py", calls), row("lib.py", "def seal_tray(x):\n    return x\n"), row("tests/t.py", "def test_seal_tray():\n    pass\n")]
+    second = [row("lib.py", "def seal_tray(x):\n    return x\n\ndef other_one():\n    return seal_tray(2)\n"), row("tests/t.py", None, True)]
+    parts, whole = (Store(spark, f"file://{tmp_path}/{n}") for n in ("parts", "whole"))
+    for k, part in enumerate((first, second)):
+        I.apply_batch(parts, spark.createDataFrame(part, I.FILES), k)
+        I.refresh(parts)
+    I.apply_batch(whole, spark.createDataFrame([first[0], second[0]], I.FILES), 0)
+    I.refresh(whole)
+    edges = lambda s: {(r["id"], r["edge_source"]) for r in s.load("edges").collect()}
+    rank = lambda s: {r["id"]: round(r["importance"], 9) for r in s.load("symbols").collect()}
+    assert edges(parts) == edges(whole) and rank(parts) == rank(whole)
+    assert ("r:a.py:use:function->calls->r:lib.py:seal_tray:function", "pass") in edges(parts) and not any("tested_by" in i for i, _ in edges(parts))
