@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.functions import predicates as P
-from skein.session import bounded_join, store
+from skein.session import bounded_join, cut, store
 
 #: BM25's parameters, and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -126,19 +126,29 @@ def squash(score, file) -> Column:
     return F.when(P.is_test_path(file), s * 0.7).otherwise(s)
 
 
-#: Places of each list that count in a fusion.
-DEPTH = 1000
-
-
 def placed(hits: DataFrame, count: int) -> DataFrame:
     """The ``count`` best of a list (id, score) with their place; ties go to the smaller id. Only these meet in one task."""
     order = [F.desc("score"), F.asc("id")]
     return hits.orderBy(*order).limit(count).withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
-def fuse(left: DataFrame, right: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Reciprocal rank fusion of the best of two lists (id, score): id, score."""
-    both = placed(left, depth).select("id", F.col("place").alias("a")).join(placed(right, depth).select("id", F.col("place").alias("b")), "id", "full")
+def places(hits: DataFrame) -> DataFrame:
+    """Every row of a list (id, score) with its place; ties go to the smaller id.
+
+    The list is sorted into ranges and written down with each row's range and number in it;
+    a place is that number behind the rows of the ranges before, of which there is one count each.
+    """
+    at = F.monotonically_increasing_id()
+    sorted_ = hits.orderBy(F.desc("score"), F.asc("id")).withColumn("_at", at)
+    rows = cut(sorted_.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "places")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_at", "_range", "_before")
+
+
+def fuse(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Reciprocal rank fusion of two whole lists (id, score): id, score."""
+    both = places(left).select("id", F.col("place").alias("a")).join(places(right).select("id", F.col("place").alias("b")), "id", "full")
     part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
     return both.select("id", (part("a") + part("b")).alias("score"))
 
@@ -217,6 +227,6 @@ def upsert_embeddings(stored: DataFrame, current: DataFrame) -> tuple[DataFrame,
     return new, stale, kept
 
 
-def resolve_hits(hits: DataFrame, nodes: DataFrame, limit: int = DEPTH) -> DataFrame:
-    """The best hits with their nodes, their order kept by the column place."""
-    return bounded_join(nodes, store(placed(hits, limit), "hits"), ["id"])
+def resolve_hits(hits: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The hits (the ``limit`` best, if given) with their nodes, their order kept by the column place."""
+    return bounded_join(nodes, store(places(hits) if limit is None else placed(hits, limit), "hits"), ["id"])

@@ -97,6 +97,20 @@ def test_keyword_fusion_and_supplement(spark):
     assert {r["id"]: r["rerank"] for r in again.collect()}[4] == 1.0
 
 
+def test_fusion_and_hits_keep_whole_lists(spark):
+    left = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("score")).repartition(5)
+    right = spark.createDataFrame([(2999, 1.0), (5000, 0.5)], "id bigint, score double")
+    order = sorted(range(3000), key=lambda i: (-(i % 7), i))
+    assert {r["id"]: r["place"] for r in S.places(left).collect()} == {i: k + 1 for k, i in enumerate(order)}
+    want = {i: 1 / (61 + k) for k, i in enumerate(order)}
+    want[2999] += 1 / 61
+    want[5000] = 1 / 62
+    assert {r["id"]: r["score"] for r in S.fuse(left, right).collect()} == pytest.approx(want)
+    found = S.resolve_hits(left, spark.range(4000)).collect()
+    assert {r["id"]: r["place"] for r in found} == {i: k + 1 for k, i in enumerate(order)} and S.places(left.where("false")).collect() == []
+    assert {r["id"] for r in S.resolve_hits(left, spark.range(4000), 5).collect()} == set(order[:5])
+
+
 def test_sections(spark):
     score = lambda h, lv, c, s=None: value(spark, S.section_score("Cache", F.lit(h), F.lit(lv), F.lit(c), s))
     assert score("# Cache", 1, "x") == pytest.approx(1.1) and score("The cache", 2, "cache cache") == pytest.approx(0.7 + 0.08 + 0.04)
