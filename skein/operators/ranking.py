@@ -147,6 +147,65 @@ def _louvain(pairs: list[tuple[str, str, float]], gamma: float, rounds: int) ->
     return {n: min(ms) for ms in members.values() for n in ms}
 
 
+def _strongest(links: DataFrame) -> DataFrame:
+    """id, community: the community with most weight; ties go to the smaller one. ``links`` has id, community, w."""
+    sums = links.groupBy("id", "community").agg(F.round(F.sum("w"), 9).alias("w")).where("w > 0")
+    return sums.groupBy("id").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community"))
+
+
+def subsystems(graph: Graph, labels: DataFrame) -> DataFrame:
+    """Id, community: ``labels`` with small communities merged and test functions assigned.
+
+    Communities are large from 3 members, in graphs of 50 or more symbols without tests from
+    clamp(symbols / 200, 5, 10). A member of a smaller one joins the large one its coupled pairs weigh
+    most to, outwards until nothing changes; test functions then join the one their edges of all kinds
+    weigh most to. What no path leads to a large one keeps its label, or none if it is a test. Graphs
+    with under 3 coupled symbols, or over 100 symbols of which under 5 % are coupled, and those without a
+    large community have no subsystems.
+    """
+    test = graph.nodes.withColumn("test", P.is_test_function("kind", "is_test", "decorators", "file")).select("id", "test")
+    labels, tests = store(labels, "labels"), cut(test.where("test").select("id"), "tests")
+    code = graph.nodes.select("id").count() - tests.count()
+    least = 3 if code < 50 else min(max(code // 200, 5), 10)
+    none = labels.df.where("false")
+    if labels.rows < 3 or (code > 100 and labels.rows < code * 0.05):
+        return none
+    large = labels.df.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community")
+    placed = cut(labels.df.join(large, "community", "left_semi").select("id", "community"), "placed")
+    if placed.isEmpty():
+        return none
+    pairs = cut(coupling(graph), "pairs")
+    both = pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("id", "near", "w")
+    open_ = cut(both.join(placed, "id", "left_anti"), "open")
+    new = placed
+    while True:
+        near = new.withColumnRenamed("id", "near")
+        joined = store(_strongest(open_.join(near, "near").select("id", "community", "w")), "joined")
+        if not joined.rows:
+            break
+        placed = placed.unionByName(joined.df)
+        new, open_ = joined.df, cut(open_.join(joined.df, "id", "left_anti"), "open")
+    kept = labels.df.join(placed, "id", "left_anti").select("id", "community")
+    e = graph.edges.select("source_id", "target_id", weight_of(F.col("edge_type")).alias("w"))
+    ends = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("near"), "w").union(e.select("target_id", "source_id", "w"))
+    near = cut(placed, "placed").withColumnRenamed("id", "near")
+    found = _strongest(ends.join(tests, "id", "left_semi").join(near, "near").select("id", "community", "w"))
+    return near.withColumnRenamed("near", "id").unionByName(kept).unionByName(found)
+
+
+def interfaces(graph: Graph, labels: DataFrame, importance: DataFrame, top_n: int = 5) -> DataFrame:
+    """Community, id, score, place: the members with most coupling edges to other communities, times their importance."""
+    code = graph.nodes.where(~P.is_test_function("kind", "is_test", "decorators", "file")).select("id")
+    e = graph.edges.where(F.col("edge_type").isin(schema.COUPLING_EDGES)).where("source_id <> target_id")
+    e = e.join(code.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(code.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    both = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("near")).union(e.select("target_id", "source_id"))
+    both = both.join(labels.select("id", "community"), "id").join(labels.select(F.col("id").alias("near"), F.col("community").alias("other")), "near", "left")
+    cross = both.where(~F.col("community").eqNullSafe(F.col("other"))).groupBy("community", "id").agg(F.count("*").alias("n"))
+    scored = cross.join(importance.select("id", "importance"), "id", "left").select("community", "id", (F.col("n") * F.coalesce("importance", F.lit(0.0))).alias("score"))
+    w = W.partitionBy("community").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_n)
+
+
 def cohesion(graph: Graph, labels: DataFrame) -> DataFrame:
     """Community, size, cohesion (weight inside to all weight of its members' pairs)."""
     pairs = coupling(graph)

@@ -11,6 +11,7 @@ from skein.functions import predicates as P
 from skein.operators import graph as G
 from skein.operators import ranking as R
 from skein.operators import search as S
+from skein.session import cut
 
 #: Default hops of each traversal, limits, and the sizes from which an impact is summarised.
 DEFAULT_HOPS = {"neighbors": 1, "impact": 3, "reachable": 3, "tests_for": 1}
@@ -117,12 +118,12 @@ def impact_summary(found: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
 
 def repo_map(graph: G.Graph, top_n: int = 15) -> dict[str, DataFrame]:
-    """Top symbols, communities (those over half of all nodes are dropped), hotspots, entry points."""
-    labels = R.communities(graph)
+    """Top symbols, communities (those over half of all nodes are dropped), their interfaces, hotspots, entry points."""
+    labels = cut(R.subsystems(graph, R.communities(graph)), "labels")
     sizes = R.cohesion(graph, labels).join(R.community_names(graph.nodes, labels), "community")
     total = sizes.agg(F.sum("size")).scalar()
     shown = sizes.where(F.col("size") <= total * 0.5).orderBy(F.desc("size"), "community").limit(15)
-    return {"top_symbols": R.top_symbols(graph.nodes, top_n), "communities": shown, "hotspots": R.hotspots(graph.nodes), "entry_points": R.entry_points(graph.nodes)}
+    return {"top_symbols": R.top_symbols(graph.nodes, top_n), "communities": shown, "interfaces": R.interfaces(graph, labels, graph.nodes), "hotspots": R.hotspots(graph.nodes), "entry_points": R.entry_points(graph.nodes)}
 
 
 def outcome_progress(graph: G.Graph, outcomes: DataFrame, commits: DataFrame, include_impact: bool = False) -> dict[str, DataFrame]:

@@ -133,12 +133,13 @@ def g09_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g10_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.communities(G.load(spark, sf_dir).stored())
+    g = G.load(spark, sf_dir).stored()
+    return R.subsystems(g, R.communities(g))
 
 
 def g11_community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = G.load(spark, sf_dir).stored()
-    labels = R.communities(g)
+    labels = R.subsystems(g, R.communities(g))
     return R.cohesion(g, labels).join(R.community_names(g.nodes, labels), "community")
 
 

@@ -83,7 +83,7 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with importance and subsystem; ranks come before virtual nodes are added."""
     graph = Graph(nodes, edges)
     importance = R.pagerank(graph)
-    labels = R.communities(graph)
+    labels = R.subsystems(graph, R.communities(graph))
     names = R.community_names(nodes, labels).withColumnRenamed("name", "subsystem")
     placed = labels.join(names, "community").select("id", "subsystem")
     return nodes.drop("importance").join(importance, "id", "left").join(placed, "id", "left")

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein import schema, session
 from skein.operators import graph as G
@@ -169,6 +170,22 @@ def test_communities_partition_and_separate_cliques(spark, monkeypatch):
     assert R.communities(G.Graph(g.nodes, e.where("false"))).collect() == []
 
 
+def test_subsystems_merge_small_and_assign_tests(spark):
+    clique = lambda c: [(f"{c}{i}", f"{c}{j}") for i in range(5) for j in range(5) if i < j]
+    code = [f"{c}{i}" for c in "ab" for i in range(5)] + ["s1", "s2", "u1", "u2"]
+    e = calls(spark, [*clique("a"), *clique("b"), ("s1", "s2"), ("s2", "b1"), ("u1", "u2"), ("a0", "b0"), ("t", "a1"), ("t", "a2"), ("b3", "t")])
+    g = G.Graph(nodes(spark, *[node(x) for x in code], node("t", file="tests/t.py"), node("alone", file="tests/t.py")), e)
+    labels = spark.createDataFrame([(x, {"a": "a0", "b": "b0", "s": "s1", "u": "u1"}[x[0]]) for x in code], "id string, community string")
+    found = R.subsystems(g, labels)
+    by = {r["id"]: r["community"] for r in found.collect()}
+    assert by == {**{x: x[0] + "0" for x in code[:10]}, "s1": "b0", "s2": "b0", "u1": "u1", "u2": "u1", "t": "a0"}
+    rank = spark.createDataFrame([("a0", 0.5), ("b0", 1.0)], "id string, importance double")
+    assert {(r["community"], r["id"], r["score"]) for r in R.interfaces(g, found, rank).collect()} == {("a0", "a0", 0.5), ("b0", "b0", 1.0)}
+    assert R.subsystems(g, labels.limit(2)).collect() == [] and R.subsystems(g, labels.withColumn("community", F.col("id"))).collect() == []
+    sparse = G.Graph(nodes(spark, *[node(x) for x in code[:3]], *[node(f"z{i}") for i in range(200)]), e)
+    assert R.subsystems(sparse, labels.where("id in ('a0', 'a1', 'a2')")).collect() == []
+
+
 def test_risk_and_blast_radius(spark):
     rows = [node("x"), node("main"), node("handle_a"), node("hub"), node("big", importance=0.8), node("mid", importance=0.5), node("leaf"), node("used"), node("st", kind="const"), node("t", file="tests/a.py"), node("pr", kind="pr_merge")]
     pairs = [(n, "x") for n in ("main", "handle_a", "hub", "big", "mid", "leaf", "used", "st", "t", "pr")] + [(f"q{i}", "hub") for i in range(5)] + [("leaf", "used"), ("leaf", "st")]
