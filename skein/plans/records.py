@@ -17,6 +17,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_pending(ledger, table(spark, sf_dir, "edges"), table(spark, sf_dir, "scan_runs"))
 
 
+def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, edges: two successive runs on one ledger; the second finds nothing that is new."""
+    path, args = scratch_path(spark, "ledger"), (table(spark, sf_dir, "edges"), table(spark, sf_dir, "scan_runs"))
+    found = [process_pending(WorkLedger(spark, path), *args, only_new=True).agg(F.lit(run).alias("run"), F.count("*").alias("edges")) for run in (1, 2)]
+    return found[0].unionByName(found[1])
+
+
 def p2_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """root_id, done_version: how far each root has been processed."""
     return last_succeeded(table(spark, sf_dir, "scan_runs"))
@@ -81,17 +88,17 @@ found as (
   where ref <> '' and not exists (select 1 from symbols s where s.id = e.ref and s.scan_version = e.scan_version)
     and not exists (select 1 from external_symbols x where x.id = e.ref))"""
 
-QUERIES = {
-    "p2_found": (
-        p2_found,
-        f"""with {DONE}, {VALID_EDGES},
+OPEN_EDGES = f"""with {DONE}, {VALID_EDGES},
 per_root as (
   select e.root_id, max(scan_version) newest, max(case when scan_version <= done_version then scan_version end) base
   from (select distinct root_id, scan_version from edges) e left join done d on d.root_id = e.root_id group by 1)
 select b.id edge_id from valid_edges b join per_root p on p.root_id = b.root_id and p.newest = b.scan_version
 left join valid_edges a on a.root_id = b.root_id and a.id = b.id and a.scan_version = p.base
-where a.id is null or a.ms is distinct from b.ms or {" or ".join(f"a.{c} is distinct from b.{c}" for c in EDGE_COLUMNS)}""",
-    ),
+where a.id is null or a.ms is distinct from b.ms or {" or ".join(f"a.{c} is distinct from b.{c}" for c in EDGE_COLUMNS)}"""
+
+QUERIES = {
+    "p2_found": (p2_found, OPEN_EDGES),
+    "p2_runs": (p2_runs, f"select 1 run, count(*) edges from ({OPEN_EDGES}) union all select 2, 0"),
     "p2_positions": (p2_positions, f"with {DONE} select * from done"),
     "p5_found": (p5_found, CHANGES + " select * from found"),
     "p5_summary": (p5_summary, CHANGES + " select tbl, change, count(*) n from found group by 1, 2"),

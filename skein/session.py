@@ -7,6 +7,10 @@ that setting is missing (tests on one machine) a local folder is used.
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -27,7 +31,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/skein-scratch"
+        made = tempfile.mkdtemp(prefix="skein-scratch-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -48,6 +54,89 @@ def drop_scratch(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Folder:
+    """Small JSON files in a folder that several writers share.
+
+    ``create`` gives a file its name only when it is complete and only if the name is free, in one step: by a hard link on
+    a mounted file system, else by a rename that does not overwrite (atomic on HDFS). A writer that dies before that step
+    leaves a hidden file that nobody reads.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self.at("").getFileSystem(self._conf)
+        self._mounted = self._fs.getUri().getScheme() == "file"
+
+    def at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str = "") -> bool:
+        return bool(self._fs.exists(self.at(name)))
+
+    def names(self, name: str = "") -> list[str]:
+        """The sorted visible names in a folder; none if it is missing."""
+        if not self.exists(name):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self.at(name))) if n[0] not in "._")
+
+    def read(self, name: str) -> dict | None:
+        """None if there is no such file, also if it is deleted while it is read."""
+        if not self.exists(name):
+            return None
+        try:
+            stream = self._fs.open(self.at(name))
+        except Exception:
+            if self.exists(name):
+                raise
+            return None
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def create(self, name: str, value: dict) -> bool:
+        """False if the name is taken."""
+        folder, _, last = name.rpartition("/")
+        temp = f"{folder}/.{last}-{uuid.uuid4().hex}"
+        self._write(temp, json.dumps(value))
+        try:
+            return self._publish(temp, name)
+        finally:
+            self._fs.delete(self.at(temp), False)
+
+    def _write(self, name: str, text: str) -> None:
+        self._fs.mkdirs(self.at(name).getParent())
+        stream = self._fs.create(self.at(name), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _publish(self, temp: str, name: str) -> bool:
+        if self._mounted:
+            try:
+                os.link(self.at(temp).toUri().getPath(), self.at(name).toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self.at(temp), self.at(name), none)
+        except Exception:
+            if self.exists(name):
+                return False
+            raise
+        return True
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self.at(name), True)
+
+    def drop(self, path: str) -> None:
+        """Delete a data folder by its whole path."""
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,126 +1,139 @@
 """The versioned store of symbols and edges.
 
-A version is a pointer file, created once, that names a Parquet folder of each
-table; the highest pointer is the committed version. Writers write their folders
-first, so readers never see half of a version. The version before is kept.
+A version is a pointer file that names a Parquet folder of each table; it is created in one step, complete, and only if
+its number is free. The highest pointer is the committed version. Writers write their folders first, so readers never
+see half of a version. A change is made to a version it has read and committed as the next one; if another writer was
+first, it is made again to what that one left. The version before is kept.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
+from skein.session import Folder
+
+#: What a change makes of the two tables of a version (None where there is none).
+Change = Callable[[DataFrame | None, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, path: str):
-        return self._hadoop.Path(path)
-
-    def _read(self, name: str) -> dict | None:
-        at = self._at(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(stream.readUTF())
-        finally:
-            stream.close()
-
-    def _write(self, name: str, value: dict) -> None:
-        """Replace a small file."""
-        temp = self._at(f"{self.path}/.{name}-{uuid.uuid4().hex}")
-        stream = self._fs.create(temp, True)
-        stream.writeUTF(json.dumps(value))
-        stream.close()
-        final = self._at(f"{self.path}/{name}")
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+        self.folder = Folder(spark, self.path)
+
+    def _pointer(self, version: int) -> str:
+        return f"pointers/{version:012d}"
 
     @property
     def version(self) -> int:
         """The committed version; 0 if there is none."""
-        pointers = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/pointers"))] if self._fs.exists(self._at(f"{self.path}/pointers")) else []
-        return max((int(p) for p in pointers if p.isdigit()), default=0)
-
-    def _point(self, version: int, entry: dict) -> bool:
-        """Commit a version: create its pointer; False if another writer has done so."""
-        self._fs.mkdirs(self._at(f"{self.path}/pointers"))
-        try:
-            stream = self._fs.create(self._at(f"{self.path}/pointers/{version:012d}"), False)
-        except Exception:
-            return False
-        stream.writeUTF(json.dumps({"schema_version": schema.SCHEMA_VERSION, **entry}))
-        stream.close()
-        return True
+        return max((int(p) for p in self.folder.names("pointers")), default=0)
 
     def migrate(self) -> bool:
         """S14, 1.3: drop everything of another schema version; True if something was dropped."""
-        meta = self._read("schema.json")
-        if meta and meta["schema_version"] != schema.SCHEMA_VERSION:
-            self._fs.delete(self._at(self.path), True)
-            meta = None
-            dropped = True
-        else:
-            dropped = False
-        if meta is None:
-            self._fs.mkdirs(self._at(self.path))
-            self._write("schema.json", {"schema_version": schema.SCHEMA_VERSION})
+        meta = self.folder.read("schema.json")
+        dropped = meta is not None and meta["schema_version"] != schema.SCHEMA_VERSION
+        if dropped:
+            self.folder.delete()
+        if meta is None or dropped:
+            self.folder.create("schema.json", {"schema_version": schema.SCHEMA_VERSION})
         return dropped
 
-    def persist(self, symbols: DataFrame, edges: DataFrame, attempts: int = 3) -> int:
-        """Write both tables, commit them as a new version, drop versions older than the one before. The new version.
+    def _data(self, symbols: DataFrame, edges: DataFrame) -> dict:
+        """Write both tables to folders of their own: paths and row counts."""
+        made = {"data": {}, "counts": {}}
+        for name, df in (("symbols", symbols), ("edges", edges)):
+            made["data"][name] = f"{self.path}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(made["data"][name])
+            made["counts"][name] = self.spark.read.parquet(made["data"][name]).count()
+        return made
+
+    def _commit(self, version: int, made: dict, batches: dict) -> bool:
+        if self.folder.create(self._pointer(version), {"schema_version": schema.SCHEMA_VERSION, "batches": batches, **made}):
+            self._drop_before(version - 1)
+            return True
+        return False
+
+    def change(self, make: Change, attempts: int = 20, batch: tuple[str, int] | None = None) -> int:
+        """Commit what ``make`` gives for the newest tables as the next version, and again if another writer was first.
 
-        The data lie in folders of their own, which the version's pointer names, so writers never touch each other's.
+        ``batch`` (stream, number) is committed with the version: a batch that the store holds is not applied again.
         """
         self.migrate()
-        made, counts = {}, {}
-        for name, df in (("symbols", symbols), ("edges", edges)):
-            made[name] = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(made[name])
-            counts[name] = self.spark.read.parquet(made[name]).count()
         for _ in range(attempts):
-            version = self.version + 1
-            if self._point(version, {"data": made, "counts": counts}):
-                self._drop_before(version - 1)
-                return version
-        raise RuntimeError("another writer keeps committing first")
+            base = self.version
+            entry = self.folder.read(self._pointer(base)) if base else {"batches": {}}
+            if entry is None:  # so many commits went by that this version is gone
+                continue
+            batches = dict(entry["batches"])
+            if batch is not None:
+                if batches.get(batch[0], -1) >= batch[1]:
+                    return base
+                batches[batch[0]] = batch[1]
+            tables = [self.spark.read.parquet(entry["data"][name]) if base else None for name in ("symbols", "edges")]
+            try:
+                made = self._data(*make(*tables))
+            except Exception:
+                if self.version == base:
+                    raise
+                continue
+            if self._commit(base + 1, made, batches):
+                return base + 1
+            for path in made["data"].values():
+                self.folder.drop(path)
+        raise RuntimeError("other writers keep committing first")
+
+    def persist(self, symbols: DataFrame, edges: DataFrame, attempts: int = 20) -> int:
+        """Write both tables and commit them as the next version, whatever the one before holds. The new version."""
+        self.migrate()
+        made = self._data(symbols, edges)
+        for _ in range(attempts):
+            base = self.version
+            entry = self.folder.read(self._pointer(base)) if base else {"batches": {}}
+            if entry is not None and self._commit(base + 1, made, entry["batches"]):
+                return base + 1
+        raise RuntimeError("other writers keep committing first")
 
     def _drop_before(self, keep: int) -> None:
-        for s in self._fs.listStatus(self._at(f"{self.path}/pointers")):
-            number = s.getPath().getName()
-            if number.isdigit() and int(number) < keep:
-                for path in self._read(f"pointers/{number}")["data"].values():
-                    self._fs.delete(self._at(path), True)
-                self._fs.delete(s.getPath(), False)
+        for number in self.folder.names("pointers"):
+            if int(number) < keep and (entry := self.folder.read(f"pointers/{number}")):
+                self.folder.delete(f"pointers/{number}")
+                for path in entry["data"].values():
+                    self.folder.drop(path)
 
     def load(self, name: str, version: int | None = None) -> DataFrame | None:
         """A table at the committed version."""
-        version = self.version if version is None else version
-        return self.spark.read.parquet(self._read(f"pointers/{version:012d}")["data"][name]) if version else None
-
-    def upsert(self, symbols: DataFrame, edges: DataFrame, removed_files: DataFrame) -> int:
+        while True:
+            at = self.version if version is None else version
+            if not at:
+                return None
+            entry = self.folder.read(self._pointer(at))
+            if entry is not None:
+                return self.spark.read.parquet(entry["data"][name])
+            if version is not None:
+                raise ValueError(f"version {version} is not kept")
+
+    def upsert(self, symbols: DataFrame, edges: DataFrame, removed_files: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Drop the symbols and edges of removed or changed files (root_id, file_path), add the new ones, as a new version.
 
         Everything is by root: a file of the same name in another root stays.
         """
-        old_s, old_e = self.load("symbols"), self.load("edges")
-        if old_s is None:
-            return self.persist(symbols, edges)
-        gone = old_s.join(removed_files.select("root_id", "file_path").distinct(), ["root_id", "file_path"], "left_semi").select("id")
-        replaced = gone.union(symbols.select("id")).distinct()
-        kept_s = old_s.join(replaced, "id", "left_anti").unionByName(symbols, allowMissingColumns=True)
-        kept_e = old_e.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(edges.select("id"), "id", "left_anti").unionByName(edges, allowMissingColumns=True)
-        return self.persist(kept_s, kept_e)
+
+        def make(old_s: DataFrame | None, old_e: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+            if old_s is None:
+                return symbols, edges
+            gone = old_s.join(removed_files.select("root_id", "file_path").distinct(), ["root_id", "file_path"], "left_semi").select("id")
+            replaced = gone.union(symbols.select("id")).distinct()
+            kept_s = old_s.join(replaced, "id", "left_anti").unionByName(symbols, allowMissingColumns=True)
+            kept_e = old_e.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(edges.select("id"), "id", "left_anti").unionByName(edges, allowMissingColumns=True)
+            return kept_s, kept_e
+
+        return self.change(make, batch=batch)
 
     def roots(self) -> DataFrame | None:
         """root_id, symbols."""
@@ -128,10 +141,12 @@ class Store:
         return None if s is None else s.groupBy("root_id").agg(F.count("*").alias("symbols"))
 
     def remove_roots(self, roots: list[str]) -> int:
-        """A new version without some roots."""
-        keep = lambda d: d.where(~F.col("root_id").isin(roots))
-        return self.persist(keep(self.load("symbols")), keep(self.load("edges")))
+        """A new version without some roots; the store as it is if it is empty."""
+        if not self.version:
+            return 0
+        keep = lambda d: d.where(~F.col("root_id").isin(roots) | F.col("root_id").isNull())
+        return self.change(lambda s, e: (keep(s), keep(e)))
 
     def sentinel(self) -> dict | None:
-        """What the committed version's writer left: schema version and row counts."""
-        return self._read(f"pointers/{self.version:012d}") if self.version else None
+        """What the committed version's writer left: schema version, row counts, the last batch of each stream."""
+        return self.folder.read(self._pointer(self.version)) if self.version else None

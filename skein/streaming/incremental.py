@@ -1,8 +1,8 @@
 """Incremental indexing as a stream (T01 to T05, T09, T10): file batches into the store, exactly once.
 
-``foreachBatch`` gets each micro-batch with its number. A batch that was applied
-is remembered beside the store, so a batch that is delivered again after a failure
-changes nothing; the store's version moves only when a batch is whole.
+``foreachBatch`` gets each micro-batch with its number, which is committed in the
+same step as the version that holds it, so a batch that is delivered again after a
+failure changes nothing.
 """
 
 from __future__ import annotations
@@ -33,19 +33,24 @@ def latest(files: DataFrame) -> DataFrame:
     return files.groupBy("root", "file").agg(F.max_by(F.struct("language", "body", "deleted"), order).alias("r")).select("root", "file", "r.*")
 
 
-def apply_batch(store: Store, files: DataFrame, batch: int) -> int:
+def apply_batch(store: Store, files: DataFrame, batch: int, stream: str = "files") -> int:
     """Apply one batch of changed and deleted files; the store's version. A batch applied before is skipped."""
-    done = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.path}/batches/{batch:012d}")
-    fs = done.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(done):
+    applied = store.sentinel()
+    if applied and applied["batches"].get(stream, -1) >= batch:
         return store.version
     files = latest(files)
     alive = files.where(~F.coalesce("deleted", F.lit(False)))
-    symbols, edges = as_tables(extract.extract(alive))
+    symbols, edges = (cut(d, "batch") for d in as_tables(extract.extract(alive)))
     gone = files.select(F.col("root").alias("root_id"), F.col("file").alias("file_path"))
-    version = store.upsert(symbols, edges, gone)
-    fs.create(done, True).close()
-    return version
+    return store.upsert(symbols, edges, gone, batch=(stream, batch))
+
+
+def remove_missing_roots(store: Store, roots: list[str]) -> int:
+    """Drop the roots that no longer exist; ``roots`` are those that do. Unchanged if none is gone."""
+    if not store.version:
+        return 0
+    gone = [r[0] for r in store.roots().where(~F.col("root_id").isin(roots)).select("root_id").collect()]
+    return store.remove_roots(gone) if gone else store.version
 
 
 def refresh(store: Store) -> int:
@@ -55,19 +60,24 @@ def refresh(store: Store) -> int:
     result is that of a full build over the same nodes. Passes that read whole files
     (routers, routes, manifests) belong to the full build.
     """
-    base = ["id", "root", "file", "name", "kind", "language", "line_start", "line_end", "signature", "body", "metadata"]
-    nodes = pipeline.typed(store.load("symbols").withColumnsRenamed({"root_id": "root", "file_path": "file"}).select(*base))
-    edges = store.load("edges")
-    if "edge_source" in edges.columns:
-        edges = edges.where("edge_source is null or edge_source <> 'pass'")
-    own = edges.select("source_id", "target_id", "edge_type", F.lit("detected").alias("edge_confidence"), F.lit(None).cast("string").alias("edge_source"))
-    none = store.spark.createDataFrame([], "root string, path string, text string")
-    nodes, linked = pipeline.link(nodes, none)
-    both = own.unionByName(linked.withColumn("edge_source", F.lit("pass")))
-    both = cut(both.groupBy("source_id", "target_id", "edge_type").agg(F.min("edge_confidence").alias("edge_confidence"), F.min(F.coalesce("edge_source", F.lit(""))).alias("edge_source")), "edges")
-    ranked = pipeline.ranked(nodes, both).withColumnsRenamed({"root": "root_id", "file": "file_path"})
-    named = both.withColumn("id", F.concat("source_id", F.lit("->"), "edge_type", F.lit("->"), "target_id")).withColumn("root_id", F.split_part("source_id", F.lit(":"), F.lit(1)))
-    return store.persist(ranked, named)
+
+    def make(symbols: DataFrame | None, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        if symbols is None:
+            raise ValueError("the store is empty")
+        base = ["id", "root", "file", "name", "kind", "language", "line_start", "line_end", "signature", "body", "metadata"]
+        nodes = pipeline.typed(symbols.withColumnsRenamed({"root_id": "root", "file_path": "file"}).select(*base))
+        if "edge_source" in edges.columns:
+            edges = edges.where("edge_source is null or edge_source <> 'pass'")
+        own = edges.select("source_id", "target_id", "edge_type", F.lit("detected").alias("edge_confidence"), F.lit(None).cast("string").alias("edge_source"))
+        none = store.spark.createDataFrame([], "root string, path string, text string")
+        nodes, linked = pipeline.link(nodes, none)
+        both = own.unionByName(linked.withColumn("edge_source", F.lit("pass")))
+        both = cut(both.groupBy("source_id", "target_id", "edge_type").agg(F.min("edge_confidence").alias("edge_confidence"), F.min(F.coalesce("edge_source", F.lit(""))).alias("edge_source")), "edges")
+        ranked = pipeline.ranked(nodes, both).withColumnsRenamed({"root": "root_id", "file": "file_path"})
+        named = both.withColumn("id", F.concat("source_id", F.lit("->"), "edge_type", F.lit("->"), "target_id")).withColumn("root_id", F.split_part("source_id", F.lit(":"), F.lit(1)))
+        return ranked, named
+
+    return store.change(make)
 
 
 def index_stream(spark: SparkSession, source: str, store: Store, checkpoint: str, available_now: bool = True, relink: bool = False) -> StreamingQuery:

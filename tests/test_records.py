@@ -53,7 +53,79 @@ def test_ledger_release_and_two_writers(spark, tmp_path):
     assert b.lease("b", 100) is None
     a.release(token)
     assert b.lease("b", 100) is not None
-    assert not a._commit(0, {"op": "enqueue", "data": "nowhere"})
+    assert a._commit([], {"op": "enqueue", "data": ["nowhere"]}) is None
+
+
+class Dying(session.Folder):
+    """A folder whose writer dies before its ``left``-th step; ``after`` lets the step itself happen."""
+
+    left, after = 10**9, False
+
+    def _step(self, do, *args):
+        self.left -= 1
+        if self.left == 0 and not self.after:
+            raise KeyboardInterrupt
+        out = do(*args)
+        if self.left == 0:
+            raise KeyboardInterrupt
+        return out
+
+    def _write(self, *args):
+        return self._step(super()._write, *args)
+
+    def _publish(self, *args):
+        return self._step(super()._publish, *args)
+
+    def delete(self, *args):
+        return self._step(super().delete, *args)
+
+
+def test_ledger_survives_a_death_at_any_step(spark, tmp_path):
+    """Whatever the step at which a writer dies, the next run finishes the work, once."""
+    edges = spark.createDataFrame([edge("e1", 1), edge("e2", 1), edge("e1", 2), edge("e3", 2)], EDGE).coalesce(1)
+    runs = spark.createDataFrame([], RUN)
+    steps = 0
+    for after in (False, True):
+        for left in range(1, 100):
+            path = f"file://{tmp_path}/{after}-{left}"
+            first = WorkLedger(spark, path)
+            first.folder = Dying(spark, path)
+            first.folder.left, first.folder.after = left, after
+            try:
+                process_pending(first, edges, runs, lease_seconds=-1)
+                break
+            except KeyboardInterrupt:
+                steps += 1
+            got = process_pending(WorkLedger(spark, path), edges, runs)
+            assert sorted(r[0] for r in got.collect()) == ["e1", "e3"], (left, after)
+            assert process_pending(WorkLedger(spark, path), edges, runs, only_new=True).isEmpty()
+    assert steps >= 14
+
+
+def test_ledger_renewal_and_compaction(spark, tmp_path):
+    ledger = WorkLedger(spark, f"file://{tmp_path}/l")
+    ledger.enqueue(items(spark, ["x", "y", "z"]))
+    token, _ = ledger.lease("a", 10, now=100.0, where="item_id = 'x'")
+    ledger.renew(token, 50, now=105.0)
+    other, _ = ledger.lease("b", 10**10, where="item_id = 'y'", now=120.0)
+    ledger.complete(token, ledger.write(token, items(spark, ["done x"])), now=130.0)
+    before = ledger.last
+    assert not ledger.compact() and ledger.compact(least=2) and len(ledger.folder.names("log")) == 1
+    assert {(r[0], r[1]) for r in ledger.states().collect()} == {("x", "done"), ("y", "leased"), ("z", "pending")}
+    third, taken = ledger.lease("c", 10**9)
+    assert [r[0] for r in taken.collect()] == ["z"] and third > other
+    ledger.complete(other, ledger.write(other, items(spark, ["done y"])))
+    assert {r[0] for r in ledger.results("item_id string").collect()} == {"done x", "done y"}
+    assert [r[0] for r in ledger.results("item_id string", after=before).collect()] == ["done y"]
+    with pytest.raises(StaleToken):
+        ledger.write(token, items(spark, ["again"]))
+    with pytest.raises(StaleToken):
+        ledger.renew(other, 5)
+    # a compaction that another writer overtakes leaves the log as it is
+    stale = ledger._log()
+    ledger.enqueue(items(spark, ["w"]))
+    assert ledger._commit(stale, {"op": "snapshot", "data": [], "done": [], "leases": [], "outs": []}) is None
+    assert ledger.states().count() == 4
 
 
 def test_failure_neither_skips_nor_repeats(spark, tmp_path):

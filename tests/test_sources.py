@@ -169,11 +169,56 @@ def test_store_versions_upsert_and_roots(spark, tmp_path):
     assert store.load("symbols", 2).count() == 3 and store.sentinel()["counts"] == {"symbols": 2, "edges": 2}
     assert sorted(os.listdir(f"{tmp_path}/s/pointers"))[-2:] == [x for x in sorted(os.listdir(f"{tmp_path}/s/pointers")) if x.isdigit()]
     assert store.remove_roots(["q"]) == 4 and [r["root_id"] for r in store.roots().collect()] == ["r"]
-    assert not store._point(4, {})
-    store._write("schema.json", {"schema_version": 0})
+    assert not store._commit(4, {"data": {}}, {})
+    store.folder.delete("schema.json")
+    store.folder.create("schema.json", {"schema_version": 0})
     assert store.migrate() and store.version == 0
 
 
+def test_two_upserts_at_once_lose_nothing(spark, tmp_path):
+    a, b = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    none = spark.createDataFrame([], "root_id string, file_path string")
+    a.persist(*tables(spark, ["f"]))
+    write, raced = Store._data, []
+
+    def overtaken(self, *made):
+        out = write(self, *made)
+        if self is a and not raced:
+            raced.append(b.upsert(*tables(spark, ["by_b"], "b.py"), none))
+        return out
+
+    a._data = overtaken.__get__(a)
+    assert a.upsert(*tables(spark, ["by_a"], "a2.py"), none) == 3 and raced == [2]
+    assert {r["name"] for r in b.load("symbols").collect()} == {"f", "by_a", "by_b"} and b.load("edges").count() == 3
+    assert a.folder.names("pointers") == ["000000000002", "000000000003"]
+
+
+@pytest.mark.parametrize("step", ["_write", "_publish"])
+def test_store_survives_a_death_before_its_commit(spark, tmp_path, monkeypatch, step):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.persist(*tables(spark, ["f"]))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(type(store.folder), step, die)
+        with pytest.raises(KeyboardInterrupt):
+            store.persist(*tables(spark, ["g"]))
+    again = Store(spark, store.path)
+    assert again.version == 1 and [r["name"] for r in again.load("symbols").collect()] == ["f"]
+    assert again.persist(*tables(spark, ["h"])) == 2
+
+
+def test_missing_roots_are_removed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert I.remove_missing_roots(store, ["r"]) == 0
+    store.persist(*tables(spark, ["f"]))
+    store.upsert(*tables(spark, ["f"], root="q"), spark.createDataFrame([], "root_id string, file_path string"))
+    assert I.remove_missing_roots(store, ["q", "r"]) == 2
+    assert I.remove_missing_roots(store, ["q"]) == 3 and [r["root_id"] for r in store.roots().collect()] == ["q"]
+
+
 def test_stream_batches_give_the_full_result(spark, tmp_path):
     """Any split into micro-batches gives the same tables; a batch that comes again changes nothing."""
     row = lambda f, body, deleted=False: ("r", f, None, body, deleted)
