@@ -11,22 +11,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from skein import schema
 from skein.functions import predicates as P
 from skein.session import Stored, bounded_join, instant_ms, store, table
 
 
-def newest(df: DataFrame) -> DataFrame:
-    """The valid rows of every root's newest snapshot: one row for each id, without version columns."""
+def newest(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The valid rows of every root's newest snapshot: one row for each id with ``cols`` (all but the version columns if None).
+
+    Only the wanted columns are read and moved. Rows of one id and instant that differ in them are decided by their hash.
+    """
+    wanted = [c for c in df.columns if c not in ("scan_version", "updated_at")] if cols is None else list(dict.fromkeys(["id", *cols]))
     last = df.where("root_id is not null").groupBy("root_id").agg(F.max("scan_version").alias("scan_version"))
     rows = df.join(last, ["root_id", "scan_version"], "left_semi").where("id is not null")
-    cols = [c for c in df.columns if c not in ("scan_version", "updated_at")]
-    valid = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in cols if c != "id"]), F.struct(F.coalesce(instant_ms("updated_at"), F.lit(-(2**62))), F.xxhash64(*cols))).alias("r"))
-    return valid.select("id", "r.*").select(*cols)
+    others = [c for c in wanted if c != "id"]
+    order = F.struct(F.coalesce(instant_ms("updated_at"), F.lit(-(2**62))), F.xxhash64(*wanted))
+    if not others:
+        return rows.select("id").distinct()
+    valid = rows.groupBy("id").agg(F.max_by(F.struct(*others), order).alias("r"))
+    return valid.select("id", "r.*").select(*wanted)
 
 
 @dataclass
@@ -39,10 +45,15 @@ class Graph:
         return Graph(store(self.nodes, "nodes").df, store(self.edges, "edges").df)
 
 
-def load(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes (id, root, file, name, kind, ...) and deduplicated edges (source_id, target_id, edge_type, ...)."""
-    nodes = newest(table(spark, sf_dir, "symbols")).withColumnsRenamed({"root_id": "root", "file_path": "file"})
-    edges = newest(table(spark, sf_dir, "edges")).where("source_id <> '' and target_id <> ''")
+def load(spark: SparkSession, sf_dir: str, node_cols: str | None = None, edge_cols: str = "edge_type") -> Graph:
+    """Nodes (id, root, file, name, kind, ...) and deduplicated edges (source_id, target_id, edge_type, ...).
+
+    ``node_cols`` and ``edge_cols`` name the columns that are wanted beside the ids.
+    """
+    stored = {"root": "root_id", "file": "file_path"}
+    cols = None if node_cols is None else [stored.get(c, c) for c in node_cols.split()]
+    nodes = newest(table(spark, sf_dir, "symbols"), cols).withColumnsRenamed({v: k for k, v in stored.items()})
+    edges = newest(table(spark, sf_dir, "edges"), ["source_id", "target_id", *edge_cols.split()]).where("source_id <> '' and target_id <> ''")
     return Graph(nodes, edges)
 
 
@@ -85,33 +96,34 @@ def with_nodes(ids: DataFrame, nodes: DataFrame, how: str = "left") -> DataFrame
     return ids.join(nodes.select("id", "root", "file", "name", "kind"), "id", how)
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_hops: int, direction: str = "outgoing", kinds: list[str] | None = None, first_kinds: bool = False) -> DataFrame:
-    """Source, id, hop for everything within ``max_hops`` of each source, itself excluded.
+#: Hops after which what has been seen is written anew, so that plans of long walks stay short.
+REWRITE = 12
+
+
+def reach(edges: DataFrame, sources: DataFrame, max_hops: int | None, direction: str = "outgoing", kinds: list[str] | None = None, first_kinds: bool = False) -> DataFrame:
+    """Source, id, hop for everything within ``max_hops`` (None: any number) of each source, itself excluded.
 
     ``sources`` has a column id. With ``first_kinds`` (G16) also first_kind, the kind of
     the first step of a shortest walk (of several, the first in the order of kinds).
     Null ids reach nothing; repeated sources count once; rings end.
     """
-    walk = store(steps(edges, direction, kinds).where("at is not null and to is not null"), "steps").df
+    walk = steps(edges, direction, kinds).where("at is not null and to is not null")
     rank = F.array_position(F.array(*[F.lit(k) for k in schema.EDGE_KINDS]), F.col("edge_type")).cast("int")
-    walk = walk.select("at", "to", rank.alias("kind")).distinct() if first_kinds else walk.select("at", "to", F.lit(0).alias("kind")).distinct()
+    walk = store(walk.select("at", "to", (rank if first_kinds else F.lit(0)).alias("kind")).distinct(), "steps").df
     start = sources.where("id is not null").select(F.col("id").alias("source"), "id").distinct()
     frontier = store(start.withColumn("first", F.lit(0)), "frontier")
-    seen = frontier.df.select("source", "id")
-    found = None
-    for hop in range(1, max_hops + 1):
+    seen, hop = frontier.df.withColumn("hop", F.lit(0)), 0
+    while frontier.rows and (max_hops is None or hop < max_hops):
+        hop += 1
         at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size)
         stepped = bounded_join(walk, at, ["at"], spread=["to"])
-        first = F.when(F.lit(hop == 1), F.col("kind")).otherwise(F.col("first"))
+        first = F.col("kind") if hop == 1 else F.col("first")
         new = stepped.select("source", F.col("to").alias("id"), first.alias("first")).groupBy("source", "id").agg(F.min("first").alias("first"))
-        frontier = store(new.join(seen, ["source", "id"], "left_anti"), "frontier")
-        if not frontier.rows:
-            break
-        part = frontier.df.withColumn("hop", F.lit(hop))
-        found = part if found is None else found.unionByName(part)
-        seen = seen.unionByName(frontier.df.select("source", "id"))
-    if found is None:
-        found = frontier.df.withColumn("hop", F.lit(0)).where("false")
+        frontier = store(new.join(seen.select("source", "id"), ["source", "id"], "left_anti"), "frontier")
+        seen = seen.unionByName(frontier.df.withColumn("hop", F.lit(hop)))
+        if hop % REWRITE == 0:
+            seen = store(seen, "seen").df
+    found = seen.where("hop > 0")
     if not first_kinds:
         return found.select("source", "id", "hop")
     names = F.array(*[F.lit(k) for k in schema.EDGE_KINDS])
@@ -123,7 +135,7 @@ def levels(edges: DataFrame, sources: DataFrame, depth: int, direction: str = "b
     return reach(edges, sources, depth, direction, kinds)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] | None = None, max_hops: int = 1000) -> list[str] | None:
+def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] | None = None) -> list[str] | None:
     """The ids after ``source`` up to ``target`` by fewest steps; [] if they are equal, None if there is no way.
 
     Of several shortest paths the one with the smallest id at each step back from the target is taken.
@@ -134,7 +146,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] |
     walk = store(steps(edges, "outgoing", kinds or ["calls"]).select("at", "to").distinct(), "steps").df
     frontier = store(spark.createDataFrame([(source,)], "id string"), "frontier")
     seen, layers = frontier.df, []
-    for _ in range(max_hops):
+    while True:
         at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size)
         new = bounded_join(walk, at, ["at"], spread=["to"]).groupBy(F.col("to").alias("id")).agg(F.min("at").alias("parent"))
         layer = store(new.join(seen, "id", "left_anti"), "layer")
@@ -145,8 +157,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] |
             break
         frontier = Stored(layer.df.select("id"), layer.path, layer.rows, layer.size)
         seen = seen.unionByName(frontier.df)
-    else:
-        return None
+        if len(layers) % REWRITE == 0:
+            seen = store(seen, "seen").df
     path, at = [], target
     for layer in reversed(layers):
         path.append(at)
@@ -154,110 +166,69 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] |
     return path[::-1]
 
 
-def distances(edges: DataFrame, source: DataFrame, kinds: list[str] | None = None, max_hops: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, source: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """source, id, hop: the length of the shortest path to everything reachable."""
-    return reach(edges, source, max_hops, "outgoing", kinds or ["calls"])
+    return reach(edges, source, None, "outgoing", kinds or ["calls"])
 
 
-#: Edges of a trimmed residue up to which components are finished on the driver.
-DRIVER_EDGES = 500_000
+def numbered(ids: DataFrame) -> Stored:
+    """id, n: distinct numbers for distinct ids in an order without pattern (that of their hashes), for loops on numbers."""
+    return store(ids.select("id").distinct().orderBy(F.xxhash64("id"), "id").select("id", F.monotonically_increasing_id().alias("n")), "numbers")
 
 
-def components(edges: DataFrame, kinds: list[str] | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def _trimmed(walk: Stored) -> Stored:
+    """Without steps that no ring can hold: nodes with no step in or none out are dropped while that pays."""
+    while walk.rows:
+        ins, outs = walk.df.select(F.col("to").alias("at")).distinct(), walk.df.select(F.col("at").alias("to")).distinct()
+        left = store(walk.df.join(ins, "at", "left_semi").join(outs, "to", "left_semi").select("at", "to"), "steps")
+        if left.rows > 0.9 * walk.rows:
+            return left
+        walk = left
+    return walk
+
+
+def _colours(walk: DataFrame) -> DataFrame:
+    """n, colour: the largest number that reaches n. Each round passes colours on and takes the colour of one's colour, so distances halve."""
+    colours = store(walk.select(F.col("at").alias("n")).union(walk.select(F.col("to").alias("n"))).distinct().withColumn("colour", F.col("n")), "colours").df
+    while True:
+        pushed = walk.join(colours.withColumnRenamed("n", "at"), "at").groupBy(F.col("to").alias("n")).agg(F.max("colour").alias("pushed"))
+        one = colours.join(pushed, "n", "left").select("n", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("pushed", "colour")).alias("via"))
+        two = one.join(colours.select(F.col("n").alias("via"), F.col("colour").alias("further")), "via").select("n", F.greatest("via", "further").alias("colour"), (F.greatest("via", "further") > F.col("old")).alias("moved"))
+        new = store(two, "colours").df
+        colours = new.select("n", "colour")
+        if new.where("moved").isEmpty():
+            return colours
+
+
+def components(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Id, component (the smallest id in it), size of the strongly connected components of two or more nodes.
 
-    Nodes without an edge in or out are trimmed round by round. A residue of at
-    most ``driver_edges`` edges is finished there by depth-first search; a larger one by
-    forward colouring and backward search, round by round.
+    Nodes are coloured by the largest number that reaches them, and within their colour by the largest one they
+    reach: where both are the same, they form a component. What is left goes through the next round. Numbers
+    follow no order of the graph, so each round is expected to halve what chains are left.
     """
-    walk = store(steps(edges, "outgoing", kinds or schema.CYCLE_EDGES).select("at", "to").where("at <> to").distinct(), "steps")
-    while walk.rows:
-        inner = walk.df.select(F.col("at").alias("id")).intersect(walk.df.select(F.col("to").alias("id")))
-        inner = store(inner, "inner")
-        part = bounded_join(walk.df, Stored(inner.df.withColumnRenamed("id", "at"), inner.path, inner.rows, inner.size), ["at"], "left_semi", spread=["to"])
-        part = bounded_join(part, Stored(inner.df.withColumnRenamed("id", "to"), inner.path, inner.rows, inner.size), ["to"], "left_semi", spread=["at"])
-        trimmed = store(part, "steps")
-        if trimmed.rows == walk.rows:
-            break
-        walk = trimmed
-    spark = edges.sparkSession
-    found = spark.createDataFrame([], "id string, component string")
-    if walk.rows and walk.rows <= driver_edges:
-        pairs = walk.df.toArrow()
-        found = spark.createDataFrame(_tarjan(pairs["at"].to_pylist(), pairs["to"].to_pylist()), "id string, component string")
-    elif walk.rows:
-        found = _coloured(walk)
-    w = W.partitionBy("component")
-    return found.withColumn("size", F.count("*").over(w)).where("size > 1").select("id", "component", "size")
-
-
-def _tarjan(at: list[str], to: list[str]) -> list[tuple[str, str]]:
-    out: dict[str, list[str]] = {}
-    for a, b in zip(at, to, strict=True):
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    order, low, on, stack, found = {}, {}, set(), [], []
-    for root in sorted(out):
-        if root in order:
-            continue
-        work = [(root, iter(sorted(out[root])))]
-        order[root] = low[root] = len(order)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt not in order:
-                    order[nxt] = low[nxt] = len(order)
-                    stack.append(nxt)
-                    on.add(nxt)
-                    work.append((nxt, iter(sorted(out[nxt]))))
-                    break
-                if nxt in on:
-                    low[node] = min(low[node], order[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == order[node]:
-                    members = []
-                    while True:
-                        members.append(stack.pop())
-                        on.discard(members[-1])
-                        if members[-1] == node:
-                            break
-                    name = min(members)
-                    found += [(m, name) for m in members]
-    return found
-
-
-def _coloured(walk: Stored) -> DataFrame:
-    """Components by colouring: the largest id that reaches a node is its colour; a colour's root and what reaches it within the colour are a component."""
-    out = None
-    while walk.rows:
-        both = walk.df.select(F.col("at").alias("id")).union(walk.df.select(F.col("to").alias("id"))).distinct()
-        colour = store(both.withColumn("colour", F.col("id")), "colour")
-        while True:
-            pushed = walk.df.join(colour.df.withColumnRenamed("id", "at"), "at").groupBy(F.col("to").alias("id")).agg(F.max("colour").alias("pushed"))
-            new = store(colour.df.join(pushed, "id", "left").select("id", F.greatest("colour", F.coalesce("pushed", "colour")).alias("colour"), (F.col("pushed") > F.col("colour")).alias("moved")), "colour")
-            more = new.df.where("moved").limit(1).count()
-            colour = Stored(new.df.select("id", "colour"), new.path, new.rows, new.size)
-            if not more:
-                break
-        inside = walk.df.join(colour.df.select(F.col("id").alias("at"), "colour"), "at").join(colour.df.select(F.col("id").alias("to"), F.col("colour").alias("c2")), "to").where("colour = c2").select("at", "to", "colour")
-        inside = store(inside, "inside").df
-        done = store(colour.df.where("id = colour"), "done")
-        frontier = done
-        members = done.df
-        while frontier.rows:
-            back = inside.join(frontier.df.select(F.col("id").alias("to"), "colour"), ["to", "colour"]).select(F.col("at").alias("id"), "colour").distinct()
-            frontier = store(back.join(members, ["id", "colour"], "left_anti"), "frontier")
-            members = members.unionByName(frontier.df)
-        names = store(members.withColumn("component", F.min("id").over(W.partitionBy("colour"))).select("id", "component"), "members")
-        out = names.df if out is None else out.unionByName(names.df)
-        left = walk.df.join(names.df.select(F.col("id").alias("at")), "at", "left_anti").join(names.df.select(F.col("id").alias("to")), "to", "left_anti")
-        walk = store(left.select("at", "to"), "steps")
-    return out
+    named = steps(edges, "outgoing", kinds or schema.CYCLE_EDGES).select("at", "to").where("at <> to").distinct()
+    named = store(named, "named")
+    numbers = numbered(named.df.select(F.col("at").alias("id")).union(named.df.select(F.col("to").alias("id")))).df
+    walk = store(
+        named.df.join(numbers.withColumnsRenamed({"id": "at", "n": "a"}), "at").join(numbers.withColumnsRenamed({"id": "to", "n": "b"}), "to").select(F.col("a").alias("at"), F.col("b").alias("to")),
+        "steps",
+    )
+    found = None
+    while (walk := _trimmed(walk)).rows:
+        colours = _colours(walk.df)
+        ends = walk.df.join(colours.withColumnsRenamed({"n": "at", "colour": "c"}), "at").join(colours.withColumnsRenamed({"n": "to", "colour": "d"}), "to")
+        inside = store(ends.where("c = d").select("at", "to", "c"), "inside").df
+        back = _colours(inside.select(F.col("to").alias("at"), F.col("at").alias("to")))
+        done = store(back.join(colours.withColumnRenamed("colour", "c"), "n").where("colour = c").select("n", "c"), "done").df
+        found = done if found is None else found.unionByName(done)
+        gone = done.select("n")
+        walk = store(inside.select("at", "to").join(gone.withColumnRenamed("n", "at"), "at", "left_anti").join(gone.withColumnRenamed("n", "to"), "to", "left_anti"), "steps")
+    if found is None:
+        return edges.sparkSession.createDataFrame([], "id string, component string, size bigint")
+    members = found.join(numbers, "n").select("id", "c")
+    named_ = members.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1")
+    return members.join(named_, "c").select("id", "component", "size")
 
 
 def component_of(edges: DataFrame, node: str, kinds: list[str] | None = None) -> DataFrame:
@@ -265,7 +236,7 @@ def component_of(edges: DataFrame, node: str, kinds: list[str] | None = None) ->
     spark = edges.sparkSession
     one = spark.createDataFrame([(node,)], "id string")
     kinds = kinds or schema.CYCLE_EDGES
-    return reach(edges, one, 10_000, "outgoing", kinds).select("id").intersect(reach(edges, one, 10_000, "incoming", kinds).select("id"))
+    return reach(edges, one, None, "outgoing", kinds).select("id").intersect(reach(edges, one, None, "incoming", kinds).select("id"))
 
 
 def in_degrees(edges: DataFrame) -> DataFrame:
@@ -310,8 +281,48 @@ def resolve_ids(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(prefixed).groupBy("wanted").agg(F.min_by("id", F.struct("order", "root", "id")).alias("id"))
 
 
+#: Lines are met in blocks of 16, 256, ... lines: spans are cut into such blocks, at most 30 of each size.
+BLOCK_BITS, BLOCK_SIZES = 4, 8
+
+
+def _blocks_of(start: Column, end: Column) -> Column:
+    """The blocks (size, block) that make up the lines from ``start`` to ``end``, each line in exactly one."""
+    none = F.array().cast("array<struct<size:int,block:bigint>>")
+
+    def run(size: int, first: Column, behind: Column) -> Column:
+        blocks = F.transform(F.sequence(first, behind - 1), lambda b: F.struct(F.lit(size).alias("size"), b.alias("block")))
+        return F.when(first < behind, blocks).otherwise(none)
+
+    parts, one = [], F.lit(1).cast("bigint")
+    for size in range(BLOCK_SIZES):
+        width = F.lit(1 << (BLOCK_BITS * size)).cast("bigint")
+        first, behind = F.floor((start + width - 1) / width), F.floor((end + one) / width)
+        if size == BLOCK_SIZES - 1:
+            parts.append(run(size, first, behind))
+            continue
+        wider = width * (1 << BLOCK_BITS)
+        up_first, up_behind = F.floor((start + wider - 1) / wider) * (1 << BLOCK_BITS), F.floor((end + one) / wider) * (1 << BLOCK_BITS)
+        split = up_first < up_behind
+        parts += [run(size, first, F.when(split, up_first).otherwise(behind)), F.when(split, run(size, up_behind, behind)).otherwise(none)]
+    return F.concat(*parts)
+
+
+def containing(locations: DataFrame, spans: DataFrame) -> DataFrame:
+    """``locations`` (root, file, line, ...) with every span (root, file, line_start, line_end, ...) around them.
+
+    Both meet in blocks of lines, so a location is joined with the spans that hold it and no others, however many
+    a file has. Null lines and spans that end before they start hold nothing.
+    """
+    good = spans.where("line_start >= 0 and line_end >= line_start")
+    cut = good.withColumn("_b", F.explode(_blocks_of(F.col("line_start").cast("bigint"), F.col("line_end").cast("bigint"))))
+    cut = cut.select("*", F.col("_b.size").alias("_size"), F.col("_b.block").alias("_block")).drop("_b")
+    at = locations.where("line >= 0").withColumn("_size", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SIZES - 1))))
+    at = at.withColumn("_block", F.expr(f"shiftright(cast(line as bigint), _size * {BLOCK_BITS})"))
+    return at.join(cut, ["root", "file", "_size", "_block"]).drop("_size", "_block")
+
+
 def narrowest(locations: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
     """Location (root, file, line) to the narrowest node of ``kinds`` around it (ties: smallest id)."""
     spans = nodes.where(F.col("kind").isin(kinds)).select("root", "file", "id", "line_start", "line_end")
-    hit = locations.join(spans, ["root", "file"]).where("line between line_start and line_end")
+    hit = containing(locations.select("root", "file", "line").distinct(), spans)
     return hit.groupBy("root", "file", "line").agg(F.min_by("id", F.struct(F.expr("line_end - line_start"), "id")).alias("id"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein import schema
 from skein.functions import predicates as P
-from skein.operators.graph import Graph
+from skein.operators.graph import Graph, numbered
 from skein.session import cut, store
 
-#: Coupled pairs up to which communities are refined on the driver.
-DRIVER_PAIRS = 500_000
+#: Fixed values of communities: the resolution, most sweeps of moves, the number of communities aimed at, and the largest share of one.
+GAMMA, SWEEPS, TARGET, LARGEST = 0.8, 20, 12, 0.3
 
 
 def weight_of(kind) -> F.Column:
@@ -29,30 +27,55 @@ def pagerank(graph: Graph, iterations: int = 20, damping: float = 0.85) -> DataF
     What the weights hold back is lost; nodes without edges out spread their
     rank evenly; the result is divided by its largest value. Nodes are the ids
     of the table and of edge ends. Parallel edges count. An empty graph gives no rows.
+
+    All that is added to ranks from outside is the same for every node, so the ranks after t rounds are sums of the
+    powers u_k = (damping * flow)^k * 1 with one coefficient for each. A round computes u_k from u_(k-1) by one join and
+    one shuffle, and only for nodes that a path of k edges reaches; the coefficients follow from the sums of u_k over
+    nodes without edges out. The flow lies partitioned by source; sources with more edges than a partition holds on
+    average are fewer than the partitions, and their ranks go to their edges by broadcast.
     """
     ends = graph.edges.select(F.col("source_id").alias("id")).union(graph.edges.select(F.col("target_id").alias("id")))
-    ids = store(graph.nodes.select("id").union(ends).distinct(), "ids")
-    n = ids.rows
+    numbers = numbered(graph.nodes.select("id").union(ends))
+    n = numbers.rows
     if not n:
-        return ids.df.withColumn("importance", F.lit(None).cast("double"))
-    out = graph.edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("out_degree"))
-    flow = graph.edges.groupBy("source_id", "target_id").agg(F.sum(weight_of(F.col("edge_type"))).alias("w"))
-    flow = store(flow.join(out.withColumnRenamed("id", "source_id"), "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("w") / F.col("out_degree")).alias("share")), "flow").df
-    nodes = store(ids.df.join(out, "id", "left").select("id", F.col("out_degree").isNull().alias("dangling")), "rank_nodes").df
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    base = nodes.select("id", F.lit(0.0).alias("passed"), "dangling")
-    loose = ranks.where("dangling").count() / n
-    top = 1.0
+        return numbers.df.select("id", F.lit(None).cast("double").alias("importance"))
+    of = numbers.df
+    weights = graph.edges.groupBy("source_id", "target_id").agg(F.sum(weight_of(F.col("edge_type"))).alias("w"), F.count("*").alias("edges"))
+    flow = store(weights.join(of.withColumnsRenamed({"id": "source_id", "n": "at"}), "source_id").join(of.withColumnsRenamed({"id": "target_id", "n": "to"}), "target_id").select("at", "to", "w", "edges"), "flow")
+    out = flow.df.groupBy("at").agg(F.sum("edges").alias("degree"), F.count("*").alias("targets"))
+    out = store(out, "degrees").df
+    parts = int(of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(flow.rows / parts, 10_000)
+    hot = out.where(F.col("targets") > each).select("at")  # fewer than there are partitions
+    share = flow.df.join(out.select("at", "degree"), "at").select("at", "to", (F.col("w") / F.col("degree") * damping).alias("share"))
+    usual = share.join(F.broadcast(hot), "at", "left_anti").repartition(parts, "at").persist()
+    busy = share.join(F.broadcast(hot), "at", "left_semi").persist()
+    no_hot = hot.isEmpty()
+    dangling = of.select("n").join(out.select(F.col("at").alias("n")), "n", "left_anti").withColumn("loose", F.lit(True))
+    powers, u = [], of.select("n", F.lit(1.0).alias("u"))
     for _ in range(iterations):
-        moved = ranks.join(flow, "id").select(F.col("target_id").alias("id"), (F.col("rank") * F.col("share")).alias("passed"), F.lit(False).alias("dangling"))
-        got = moved.unionByName(base).groupBy("id").agg(F.sum("passed").alias("passed"), F.bool_or("dangling").alias("dangling"))
-        new = F.lit((1 - damping) / n) + damping * (F.col("passed") + F.lit(loose / n))
-        seen = Observation()
-        sums = [F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"), F.max("rank").alias("top")]
-        # each round is written down, and what it sums up is observed on the way
-        ranks = cut(got.select("id", "dangling", new.alias("rank")).observe(seen, *sums), "ranks")
-        loose, top = seen.get["loose"], seen.get["top"]
-    return ranks.select("id", (F.col("rank") / F.lit(top)).alias("importance"))
+        at = u.withColumnRenamed("n", "at")
+        moved = usual.join(at, "at").select("to", (F.col("share") * F.col("u")).alias("u"))
+        if not no_hot:
+            moved = moved.unionByName(busy.join(F.broadcast(at.join(F.broadcast(hot), "at", "left_semi")), "at").select("to", (F.col("share") * F.col("u")).alias("u")))
+        u = cut(moved.groupBy(F.col("to").alias("n")).agg(F.sum("u").alias("u")), "power")
+        powers.append(u)
+        if u.isEmpty():
+            break
+    usual.unpersist()
+    busy.unpersist()
+    every = of.select("n", F.lit(0).alias("k"), F.lit(1.0).alias("u"))
+    for k, p in enumerate(powers, 1):
+        every = every.unionByName(p.select("n", F.lit(k).alias("k"), "u"))
+    sums = dict(every.join(dangling, "n", "left_semi").groupBy("k").agg(F.sum("u")).collect())
+    added: list[float] = []  # what every node gets from outside in each round
+    for t in range(iterations):
+        loose = sums.get(t, 0.0) / n + sum(a * sums.get(t - 1 - j, 0.0) for j, a in enumerate(added))
+        added.append((1 - damping) / n + damping * loose / n)
+    factor = [added[iterations - 1 - k] for k in range(iterations)] + [1 / n]
+    ranks = every.groupBy("n").agg(F.sum(F.col("u") * F.get(F.array(*map(F.lit, factor)), F.col("k"))).alias("rank"))
+    ranks = cut(ranks.join(of, "n").select("id", "rank"), "ranks")
+    return ranks.select("id", (F.col("rank") / ranks.agg(F.max("rank")).scalar()).alias("importance"))
 
 
 def coupling(graph: Graph) -> DataFrame:
@@ -64,87 +87,94 @@ def coupling(graph: Graph) -> DataFrame:
     return pairs.join(code.withColumnRenamed("id", "a"), "a", "left_semi").join(code.withColumnRenamed("id", "b"), "b", "left_semi")
 
 
-def communities(graph: Graph, gamma: float = 0.8, rounds: int = 20) -> DataFrame:
-    """Id, community (the smallest member id). Moves and ties follow the order of ids.
+def communities(graph: Graph, gamma: float = GAMMA, sweeps: int = SWEEPS) -> DataFrame:
+    """Id, community (the smallest member id): local moving by modularity gain, then merging of the closest communities.
+
+    A sweep has two rounds, in each of which half of the nodes (by a hash of node and sweep) move at once to the
+    community with the largest gain; of equal ones to the one with the smaller number. A node alone moves to another
+    node alone only if that has the smaller number, so the two can't change places. It ends with a sweep without moves.
 
-    While there are more coupled pairs than the driver may hold, nodes take the
-    label of their strongest neighbor (smaller ids' labels win ties) in
-    distributed rounds and each label is contracted to one node.
+    Then each community proposes to be merged with the one it shares most weight with, in relation to the smaller of the
+    two, if that ratio reaches a bar set by the first number of communities and both together hold at most LARGEST of all
+    nodes. The smaller one is taken in, unless its partner itself is taken in elsewhere in that round; where all that is
+    proposed to a community would make it too large, it takes the best one.
     """
-    pairs = store(coupling(graph), "pairs")
-    ends = pairs.df.select(F.col("a").alias("id")).union(pairs.df.select(F.col("b").alias("id"))).distinct()
-    labels = store(ends.select("id", F.col("id").alias("label")), "labels").df
-    for _ in range(10):
-        if pairs.rows <= DRIVER_PAIRS:
-            break
-        both = pairs.df.select("a", "b", "weight").union(pairs.df.select("b", "a", "weight"))
-        best = both.where("b < a").groupBy(F.col("a").alias("label")).agg(F.max_by("b", F.struct("weight", F.expr("-xxhash64(b)"))).alias("next"))
-        labels = store(labels.join(best, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels").df
-        to = best.withColumnRenamed("label", "n")
-        moved = pairs.df.join(to.select(F.col("n").alias("a"), F.col("next").alias("na")), "a", "left").join(to.select(F.col("n").alias("b"), F.col("next").alias("nb")), "b", "left")
-        moved = moved.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y"), "weight").where("x <> y")
-        pairs = store(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
-    spark = graph.edges.sparkSession
-    if not pairs.rows:
-        return labels.select("id", F.col("label").alias("community"))
-    rows = pairs.df.toArrow()
-    final = _louvain(list(zip(rows["a"].to_pylist(), rows["b"].to_pylist(), rows["weight"].to_pylist(), strict=True)), gamma, rounds)
-    last = spark.createDataFrame(sorted(final.items()), "label string, community string")
-    return labels.join(last, "label", "left").select("id", F.coalesce("community", "label").alias("community"))
-
-
-def _louvain(pairs: list[tuple[str, str, float]], gamma: float, rounds: int) -> dict[str, str]:
-    """Local moving by modularity gain, then merging of the closest communities."""
-    near: dict[str, dict[str, float]] = defaultdict(dict)
-    for a, b, w in pairs:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    nodes = sorted(near)
-    degree = {n: sum(near[n].values()) for n in nodes}
-    twice = sum(degree.values()) or 1.0
-    home = {n: n for n in nodes}
-    total = dict(degree)
-    for _ in range(rounds):
-        moved = False
-        for n in nodes:
-            here = home[n]
-            total[here] -= degree[n]
-            links: dict[str, float] = defaultdict(float)
-            for m, w in near[n].items():
-                links[home[m]] += w
-            best, gain = here, links.get(here, 0.0) - gamma * degree[n] * total[here] / twice
-            for c in sorted(links):
-                g = links[c] - gamma * degree[n] * total[c] / twice
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            total[best] += degree[n]
-            if best != here:
-                home[n], moved = best, True
+    pairs = store(coupling(graph), "pairs").df
+    numbers = numbered(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+    if not numbers.rows:
+        return numbers.df.select("id", F.col("id").alias("community"))
+    of = numbers.df
+    hashed = of.withColumn("h", F.xxhash64("id"))
+    links = pairs.join(hashed.withColumnsRenamed({"id": "a", "n": "x", "h": "hx"}), "a").join(hashed.withColumnsRenamed({"id": "b", "n": "y", "h": "hy"}), "b")
+    links = store(links.select("x", "hx", "y", "hy", "weight"), "links").df
+    near = links.select("x", "hx", "y", "weight").union(links.select("y", "hy", "x", "weight")).toDF("n", "h", "m", "w")
+    home = store(near.groupBy("n", "h").agg(F.round(F.sum("w"), 9).alias("k")).withColumn("c", F.col("n")), "home").df
+    twice = home.agg(F.sum("k")).first()[0] or 1.0
+    for sweep in range(sweeps):
+        moved = 0
+        for half in (0, 1):
+            home, moves = _moved(near, home, twice, gamma, F.pmod(F.xxhash64("h", F.lit(sweep)), F.lit(2)) == half)
+            moved += moves
         if not moved:
             break
-    members: dict[str, set[str]] = defaultdict(set)
-    for n, c in home.items():
-        members[c].add(n)
-    cross: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, w in pairs:
-        if home[a] != home[b]:
-            cross[home[a]][home[b]] += w
-            cross[home[b]][home[a]] += w
-    cap, k = 0.3 * len(nodes), len(members)
-    for _ in range(200):
-        bar = gamma * min(12 / max(len(members), 1), 1) ** 0.5
-        best = max(((w / min(len(members[a]), len(members[b])), b, a) for a in sorted(members) for b, w in cross[a].items() if a < b and len(members[a]) + len(members[b]) <= cap), default=None, key=lambda x: (x[0], x[2], x[1]))
-        if best is None or best[0] < bar:
-            break
-        _, b, a = best
-        members[a] |= members.pop(b)
-        for c, w in cross.pop(b).items():
-            cross[c].pop(b, None)
-            if c != a:
-                cross[a][c] += w
-                cross[c][a] += w
-    del k
-    return {n: min(ms) for ms in members.values() for n in ms}
+    return _named(cut(of.join(_merged(near, home, gamma), "n").select("id", "c"), "labels"))
+
+
+def _named(labels: DataFrame) -> DataFrame:
+    """id, community: each community c by its smallest id."""
+    return labels.join(labels.groupBy("c").agg(F.min("id").alias("community")), "c").select("id", "community")
+
+
+def _moved(near: DataFrame, home: DataFrame, twice: float, gamma: float, turn) -> tuple[DataFrame, int]:
+    """One round of moves: the nodes (n, h, k, c) after it, and how many moved. ``turn`` says whose turn it is."""
+    totals = home.groupBy("c").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
+    movers = home.where(turn)
+    to = near.where(turn).join(home.select(F.col("n").alias("m"), "c"), "m").groupBy("n", "c").agg(F.sum("w").alias("w"))
+    stay = movers.select("n", "c", F.lit(0.0).alias("w"))
+    sums = to.unionByName(stay).groupBy("n", "c").agg(F.sum("w").alias("w"))
+    each = sums.join(movers.select("n", "k", F.col("c").alias("own")), "n").join(totals, "c")
+    alone = home.join(totals.where("size = 1"), "c", "left_semi").select("n", F.lit(True).alias("alone"))
+    each = each.join(alone, "n", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    here = F.col("c") == F.col("own")
+    swap = ~here & F.col("alone") & (F.col("size") == 1) & (F.col("c") > F.col("own"))
+    gain = F.col("w") - gamma * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / twice
+    scored = each.where(~swap).select("n", "c", here.alias("here"), F.round(gain, 9).alias("gain"))
+    best = scored.groupBy("n").agg(F.max(F.struct("gain", "here", (-F.col("c")).alias("minus"))).alias("b")).select("n", (-F.col("b.minus")).alias("new"))
+    after = home.join(best, "n", "left").select("n", "h", "k", F.coalesce("new", "c").alias("c"), (F.coalesce("new", "c") != F.col("c")).alias("moved"))
+    after = store(after, "home").df
+    return after.select("n", "h", "k", "c"), after.where("moved").count()
+
+
+def _merged(near: DataFrame, home: DataFrame, gamma: float) -> DataFrame:
+    """n, c: the communities after merging."""
+    sizes = store(home.groupBy("c").agg(F.count("*").alias("size")), "sizes")
+    nodes = sizes.df.agg(F.sum("size")).first()[0]
+    bar, cap = gamma * min(TARGET / sizes.rows, 1) ** 0.5, int(LARGEST * nodes)
+    at = home.select("n", "c")
+    ends = near.join(at.withColumnRenamed("c", "a"), "n").join(at.select(F.col("n").alias("m"), F.col("c").alias("b")), "m").where("a < b")
+    cross = store(ends.groupBy("a", "b").agg(F.round(F.sum("w"), 9).alias("w")), "cross").df
+    sizes, label = sizes.df, store(home.select("c", F.col("c").alias("now")).distinct(), "label").df
+    while True:
+        sized = cross.join(sizes.withColumnsRenamed({"c": "a", "size": "sa"}), "a").join(sizes.withColumnsRenamed({"c": "b", "size": "sb"}), "b").where(F.col("sa") + F.col("sb") <= cap)
+        score = F.round(F.col("w") / F.least("sa", "sb"), 9)
+        pairs = sized.withColumn("score", score).where(F.col("score") >= bar)
+        smaller = F.col("sa") < F.col("sb")
+        pairs = pairs.select("score", F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("target"), F.least("sa", "sb").alias("size"), F.greatest("sa", "sb").alias("into"))
+        both = pairs.select(F.col("source").alias("c"), "*").unionByName(pairs.select(F.col("target").alias("c"), "*"))
+        order = F.struct("score", (-F.col("target")).alias("t"), (-F.col("source")).alias("s"))
+        best = store(both.groupBy("c").agg(F.max_by(F.struct("source", "target", "score", "size", "into"), order).alias("p")).select("c", "p.*").where("c = source"), "proposals")
+        if not best.rows:
+            return home.join(label, "c").select("n", F.col("now").alias("c"))
+        free = best.df.join(best.df.select(F.col("source").alias("target")), "target", "left_anti")
+        per = free.groupBy("target").agg(F.sum("size").alias("all"), F.max_by("source", F.struct("score", (-F.col("source")).alias("s"))).alias("first"))
+        taken = free.join(per, "target").where((F.col("into") + F.col("all") <= cap) | (F.col("source") == F.col("first")))
+        merges = store(taken.select("source", "target"), "merges").df
+        into = merges.withColumnsRenamed({"source": "c", "target": "to"})
+        label = store(label.join(into.withColumnsRenamed({"c": "now"}), "now", "left").select("c", F.coalesce("to", "now").alias("now")), "label").df
+        sizes = store(sizes.join(into, "c", "left").groupBy(F.coalesce("to", "c").alias("c")).agg(F.sum("size").alias("size")), "sizes").df
+        moved = cross.join(into.withColumnsRenamed({"c": "a", "to": "x"}), "a", "left").join(into.withColumnsRenamed({"c": "b", "to": "y"}), "b", "left")
+        moved = moved.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "w").where("x <> y")
+        cross = store(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.round(F.sum("w"), 9).alias("w")), "cross").df
 
 
 def _strongest(links: DataFrame) -> DataFrame:
@@ -217,10 +247,25 @@ def cohesion(graph: Graph, labels: DataFrame) -> DataFrame:
 
 
 def community_names(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Community, name: the most frequent directory of its files (ties: the later name), else its first part."""
-    folder = F.when(F.col("file").contains("/"), F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).otherwise(F.split_part("file", F.lit("."), F.lit(1)))
-    counts = labels.join(nodes.select("id", folder.alias("folder")), "id").groupBy("community", "folder").agg(F.count("*").alias("n"))
-    return counts.groupBy("community").agg(F.max_by("folder", F.struct("n", "folder")).alias("name"))
+    """Community, name: the most frequent name of its modules (ties: the later name), else the directory that all
+    its files share (without src at the front), else the most frequent first directory; files without one count by their stem.
+    """
+    parts = F.split("file", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    folders = F.when(F.get(folders, F.lit(0)) == "src", F.slice(folders, F.lit(2), F.size(folders))).otherwise(folders)
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    dirs = F.when(F.size(folders) > 0, folders).otherwise(F.array(stem))
+    members = labels.join(nodes.where("file is not null").select("id", "kind", "name", dirs.alias("dirs")), "id")
+    modules = members.where("kind = 'module'").groupBy("community", "name").agg(F.count("*").alias("n"))
+    module = modules.groupBy("community").agg(F.max_by("name", F.struct("n", "name")).alias("module"))
+    ends = members.groupBy("community").agg(F.min("dirs").alias("low"), F.max("dirs").alias("high"))
+    same = F.transform(F.arrays_zip("low", "high"), lambda p: p["low"].eqNullSafe(p["high"]))
+    length = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+    shared = ends.select("community", F.nullif(F.array_join(F.slice("low", F.lit(1), length), "/"), F.lit("")).alias("shared"))
+    firsts = members.groupBy("community", F.get("dirs", F.lit(0)).alias("first")).agg(F.count("*").alias("n"))
+    first = firsts.groupBy("community").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
+    out = shared.join(first, "community", "left").join(module, "community", "left")
+    return out.select("community", F.coalesce("module", "shared", "first").alias("name"))
 
 
 def hierarchy(subsystems: DataFrame) -> DataFrame:
