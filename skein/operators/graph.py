@@ -188,24 +188,30 @@ def _trimmed(walk: Stored) -> Stored:
 
 
 def _colours(walk: DataFrame) -> DataFrame:
-    """n, colour: the largest number that reaches n. Each round passes colours on and takes the colour of one's colour, so distances halve."""
-    colours = store(walk.select(F.col("at").alias("n")).union(walk.select(F.col("to").alias("n"))).distinct().withColumn("colour", F.col("n")), "colours").df
+    """n, f, b: the largest number that reaches n, and the largest one that n reaches.
+
+    Each round passes both on along the steps and takes those of the nodes they name, so distances are halved.
+    """
+    ends = walk.select(F.col("at").alias("n")).union(walk.select(F.col("to").alias("n"))).distinct()
+    now = store(ends.select("n", F.col("n").alias("f"), F.col("n").alias("b")), "colours").df
+    both = walk.select("at", "to", F.lit(True).alias("on")).union(walk.select("to", "at", F.lit(False)))
     while True:
-        pushed = walk.join(colours.withColumnRenamed("n", "at"), "at").groupBy(F.col("to").alias("n")).agg(F.max("colour").alias("pushed"))
-        one = colours.join(pushed, "n", "left").select("n", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("pushed", "colour")).alias("via"))
-        two = one.join(colours.select(F.col("n").alias("via"), F.col("colour").alias("further")), "via").select("n", F.greatest("via", "further").alias("colour"), (F.greatest("via", "further") > F.col("old")).alias("moved"))
-        new = store(two, "colours").df
-        colours = new.select("n", "colour")
+        passed = both.join(now.withColumnRenamed("n", "at"), "at").groupBy(F.col("to").alias("n")).agg(F.max(F.when(F.col("on"), F.col("f"))).alias("pf"), F.max(F.when(~F.col("on"), F.col("b"))).alias("pb"))
+        one = now.join(passed, "n", "left").select("n", "f", "b", F.greatest("f", "pf").alias("vf"), F.greatest("b", "pb").alias("vb"))
+        two = one.join(now.select(F.col("n").alias("vf"), F.col("f").alias("ff")), "vf").join(now.select(F.col("n").alias("vb"), F.col("b").alias("bb")), "vb")
+        new = two.select("n", F.greatest("vf", "ff").alias("nf"), F.greatest("vb", "bb").alias("nb"), "f", "b")
+        new = store(new.select("n", F.col("nf").alias("f"), F.col("nb").alias("b"), ((F.col("nf") > F.col("f")) | (F.col("nb") > F.col("b"))).alias("moved")), "colours").df
+        now = new.select("n", "f", "b")
         if new.where("moved").isEmpty():
-            return colours
+            return now
 
 
 def components(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Id, component (the smallest id in it), size of the strongly connected components of two or more nodes.
 
-    Nodes are coloured by the largest number that reaches them, and within their colour by the largest one they
-    reach: where both are the same, they form a component. What is left goes through the next round. Numbers
-    follow no order of the graph, so each round is expected to halve what chains are left.
+    Nodes are coloured by the largest number that reaches them and by the largest one they reach: where both are
+    the same, they form a component. Steps between other nodes of the same two colours go through the next round. Numbers
+    follow no order of the graph, so each round is expected to break what chains are left.
     """
     named = steps(edges, "outgoing", kinds or schema.CYCLE_EDGES).select("at", "to").where("at <> to").distinct()
     named = store(named, "named")
@@ -217,13 +223,10 @@ def components(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     found = None
     while (walk := _trimmed(walk)).rows:
         colours = _colours(walk.df)
-        ends = walk.df.join(colours.withColumnsRenamed({"n": "at", "colour": "c"}), "at").join(colours.withColumnsRenamed({"n": "to", "colour": "d"}), "to")
-        inside = store(ends.where("c = d").select("at", "to", "c"), "inside").df
-        back = _colours(inside.select(F.col("to").alias("at"), F.col("at").alias("to")))
-        done = store(back.join(colours.withColumnRenamed("colour", "c"), "n").where("colour = c").select("n", "c"), "done").df
+        done = colours.where("f = b").select("n", F.col("f").alias("c"))
         found = done if found is None else found.unionByName(done)
-        gone = done.select("n")
-        walk = store(inside.select("at", "to").join(gone.withColumnRenamed("n", "at"), "at", "left_anti").join(gone.withColumnRenamed("n", "to"), "to", "left_anti"), "steps")
+        rest = colours.where("f <> b")
+        walk = store(walk.df.join(rest.toDF("at", "f", "b"), "at").join(rest.toDF("to", "f2", "b2"), "to").where("f = f2 and b = b2").select("at", "to"), "steps")
     if found is None:
         return edges.sparkSession.createDataFrame([], "id string, component string, size bigint")
     members = found.join(numbers, "n").select("id", "c")

@@ -50,25 +50,25 @@ def _caller(g: G.Graph) -> DataFrame:
 
 
 def j01_edges_with_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir)
+    g = G.load(spark, sf_dir, "root file name kind")
     ends = g.edges.select("source_id", "edge_type", F.col("target_id").alias("id"))
     return G.with_nodes(ends, g.nodes).groupBy("edge_type", "kind").agg(F.count("*").alias("n"))
 
 
 def g01_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir)
+    g = G.load(spark, sf_dir, "")
     return G.neighbors(g.edges, _hub(g), "incoming").select("edge_type", "id")
 
 
 def g02_grouped_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir)
+    g = G.load(spark, sf_dir, "")
     found = G.grouped_neighbors(g.edges.select(F.col("source_id").alias("source"), "edge_type", F.col("target_id").alias("id")))
     return found.select("source", "edge_type", "n", "kind_rank", F.element_at("neighbors", 1).alias("first"))
 
 
 def _reach(direction: str, start, hops: int, kinds=None, first: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = G.load(spark, sf_dir).stored()
+        g = G.load(spark, sf_dir, "").stored()
         return G.reach(g.edges, start(g), hops, direction, kinds, first).drop("source")
 
     return run
@@ -90,14 +90,14 @@ def _cyclic(g: G.Graph) -> DataFrame:
 
 def g06_component_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of a node that lies on a cycle."""
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "").stored()
     node = _cyclic(g).first()[0]
     return G.component_of(g.edges, node) if node else g.nodes.select("id").where("false")
 
 
 def g18_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """step, id of a shortest path from the busiest caller to one of what is farthest from it."""
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "").stored()
     start = _caller(g)
     far = G.distances(g.edges, start).orderBy(F.desc("hop"), "id").first()
     path = G.shortest_path(g.edges, far["source"], far["id"]) if far else []
@@ -105,11 +105,11 @@ def g18_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g05_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(G.load(spark, sf_dir).edges)
+    return G.components(G.load(spark, sf_dir, "").edges)
 
 
 def g08_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pagerank(G.load(spark, sf_dir).stored()).select("id", F.round("importance", 6).alias("importance"))
+    return R.pagerank(G.load(spark, sf_dir, "")).select("id", F.round("importance", 6).alias("importance"))
 
 
 def _pagerank_sql(iterations: int = 20) -> str:
@@ -128,38 +128,38 @@ select id, round(rank / (select max(rank) from r{iterations}), 6) importance fro
 
 
 def g09_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.load(spark, sf_dir).edges
+    e = G.load(spark, sf_dir, "").edges
     return e.groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.sum(R.weight_of(F.col("edge_type"))), 3).alias("weight"))
 
 
 def g10_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "kind is_test decorators file").stored()
     return R.subsystems(g, R.communities(g))
 
 
 def g11_community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "kind is_test decorators file name").stored()
     labels = R.subsystems(g, R.communities(g))
     return R.cohesion(g, labels).join(R.community_names(g.nodes, labels), "community")
 
 
 def g12_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories as subsystems, rolled up to their parents."""
-    nodes = G.load(spark, sf_dir).nodes.where(F.col("file").contains("/"))
+    nodes = G.load(spark, sf_dir, "file kind").nodes.where(F.col("file").contains("/"))
     subs = nodes.groupBy(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("name")).agg(F.count("*").alias("size"), F.avg(F.when(F.col("kind") == "function", 1.0).otherwise(0.0)).alias("cohesion"))
     return R.hierarchy(subs).select("parent", "children", "size", F.round("cohesion", 6).alias("cohesion"))
 
 
 def g13_top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_symbols(G.load(spark, sf_dir).nodes).select("id", "name", "file", F.round("score", 6).alias("score"))
+    return R.top_symbols(G.load(spark, sf_dir, "kind is_test decorators file name importance").nodes).select("id", "name", "file", F.round("score", 6).alias("score"))
 
 
 def g13_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hotspots(G.load(spark, sf_dir).nodes)
+    return R.hotspots(G.load(spark, sf_dir, "root file kind").nodes)
 
 
 def g13_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.entry_points(G.load(spark, sf_dir).nodes)
+    return R.entry_points(G.load(spark, sf_dir, "name kind file").nodes)
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +171,12 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g22_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "name kind file importance").stored()
     return G.blast_radius(g, _changed(spark, sf_dir)).select("id", "hop", "risk")
 
 
 def g23_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G.load(spark, sf_dir)
+    g = G.load(spark, sf_dir, "root name kind file importance")
     return G.risk(g.nodes.join(G.in_degrees(g.edges), "id", "left")).groupBy("root", "risk").agg(F.count("*").alias("n"))
 
 
@@ -189,7 +189,7 @@ DEG = "deg as (select target_id id, count(*) deg from cur_e group by 1)"
 
 def g20_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affected symbols per directory with a first member, over the impact of the hub."""
-    g = G.load(spark, sf_dir).stored()
+    g = G.load(spark, sf_dir, "root file").stored()
     hit = G.reach(g.edges, _hub(g), 3, "incoming", schema.IMPACT_EDGES).join(g.nodes, "id")
     folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
     return hit.groupBy("root", folder.alias("folder")).agg(F.countDistinct("id").alias("affected"), F.min_by("id", F.struct("hop", "id")).alias("entry"))
@@ -197,13 +197,13 @@ def g20_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f18_short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id without its root, resolved again."""
-    nodes = G.load(spark, sf_dir).nodes
+    nodes = G.load(spark, sf_dir, "root").nodes
     return G.resolve_ids(nodes.select(F.substr("id", F.length("root") + 2).alias("wanted")).distinct(), nodes)
 
 
 def f_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F13 to F16, F19, F21 to F23 of every current symbol."""
-    n = G.load(spark, sf_dir).nodes
+    n = G.load(spark, sf_dir, "kind is_test decorators file name language").nodes
     return n.select(
         "id",
         P.is_test_path("file").alias("test_path"),
@@ -221,14 +221,14 @@ def f_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f_search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F01 to F10 together."""
-    n = G.load(spark, sf_dir).nodes
+    n = G.load(spark, sf_dir, "root kind language file cyclomatic name signature").nodes
     hit = P.equals_ignoring_case("kind", "FUNCTION") & (P.equals_ignoring_case("language", "Python") | P.equals_ignoring_case("language", "rust")) & P.file_contains("file", "src/") & P.at_least_complex("kind", "cyclomatic", 3)
     return n.where(hit & P.name_or_signature("name", "signature", "Ledger") & P.in_root("root", "all")).select("id", "cyclomatic")
 
 
 def f12_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of three patterns."""
-    files = G.load(spark, sf_dir).nodes.select("root", "file").distinct()
+    files = G.load(spark, sf_dir, "root file").nodes.select("root", "file").distinct()
     patterns = spark.createDataFrame([("src/*",), ("src/core/*.rs",), ("*/io/*",)], "pattern string")
     return files.join(F.broadcast(patterns), P.simple_glob("file", "pattern")).groupBy("pattern").agg(F.count("*").alias("files"))
 
@@ -237,28 +237,28 @@ def o01_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tiers for the query "batch", the best 50."""
     from skein.operators.search import relevance_order
 
-    n = G.load(spark, sf_dir).nodes.where(P.name_or_signature("name", "signature", "batch"))
+    n = G.load(spark, sf_dir, "name signature kind file importance").nodes.where(P.name_or_signature("name", "signature", "batch"))
     top = n.orderBy(*relevance_order("batch")).limit(50)
     return top.select("*", F.row_number().over(W.orderBy(*relevance_order("batch"))).alias("place")).select("id", "place")
 
 
 def a06_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.statistics(G.load(spark, sf_dir))
+    return R.statistics(G.load(spark, sf_dir, "root file language", "root_id"))
 
 
 def a08_top_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_per_file(G.load(spark, sf_dir).nodes)
+    return R.top_per_file(G.load(spark, sf_dir, "root file kind importance").nodes)
 
 
 def a12_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = G.load(spark, sf_dir).nodes
+    n = G.load(spark, sf_dir, "root importance").nodes
     top = n.groupBy("root").agg(F.max("importance").alias("top"))
     return n.join(top, "root").select("id", F.round(F.col("importance") / F.col("top"), 6).alias("share"))
 
 
 def j16_narrowest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrowest symbol around the first line of every function."""
-    n = G.load(spark, sf_dir).nodes
+    n = G.load(spark, sf_dir, "root file kind line_start line_end").nodes
     lines = n.where("kind = 'function' and line_start is not null").select("root", "file", F.col("line_start").alias("line")).distinct()
     return G.narrowest(lines, n, ["function", "impl", "struct"])
 

@@ -16,9 +16,9 @@ from skein.sources import extract, markdown
 ASK = "tractor ledger balance"
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, cols: str = "root file name kind language line_start line_end signature body decorators is_test") -> DataFrame:
     """Current symbols as the passes read them."""
-    return G.load(spark, sf_dir).nodes.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    return G.load(spark, sf_dir, cols).nodes.withColumn("metadata", F.create_map().cast("map<string,string>"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def r06_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r07_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = G.load(spark, sf_dir).nodes.where("importance is not null")
+    n = G.load(spark, sf_dir, "file importance").nodes.where("importance is not null")
     return n.select("id", F.round(search.squash(F.col("importance"), "file"), 6).alias("score"))
 
 
@@ -70,14 +70,14 @@ def r14_section_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r10_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols whose signature says "batch" by importance, with name matches that this list lacks."""
-    n = G.load(spark, sf_dir).nodes
+    n = G.load(spark, sf_dir, "name signature importance").nodes
     hits = n.where(F.lower("signature").contains("batch") & F.col("importance").isNotNull()).select("id", F.col("importance").alias("score")).orderBy(F.desc("score"), "id").limit(40)
     names = n.where(F.lower("name").contains("batch")).select("id", F.coalesce("importance", F.lit(0.0)).alias("score"))
     return search.supplement(hits, names, 40).select("id", "source_rank")
 
 
 def r15_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = G.load(spark, sf_dir).nodes.where(P.embeddable("kind"))
+    n = G.load(spark, sf_dir, "kind name doc_comment body").nodes.where(P.embeddable("kind"))
     return n.select("id", F.md5(search.embedding_text("name", "doc_comment", "body")).alias("digest"))
 
 
@@ -92,7 +92,7 @@ def s20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "symbols")
     last = s.groupBy("root_id").agg(F.max("scan_version").alias("v"))
     before = s.join(last, "root_id").where("scan_version < v").drop("v")
-    text = lambda d: G.newest(d).select("id", F.md5(search.embedding_text("name", "doc_comment", "body")).alias("text_hash"))
+    text = lambda d: G.newest(d, ["name", "doc_comment", "body"]).select("id", F.md5(search.embedding_text("name", "doc_comment", "body")).alias("text_hash"))
     new, stale, kept = search.upsert_embeddings(text(before), text(s))
     count = lambda d, what: d.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
     return count(new, "embed").unionByName(count(stale, "delete")).unionByName(count(kept, "keep"))
@@ -100,67 +100,67 @@ def s20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link01_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frameworks by the text of all symbols, read as if each were an import."""
-    n = _nodes(spark, sf_dir).withColumn("kind", F.lit("import")).withColumn("name", F.concat_ws(" ", "name", "signature", "body"))
+    n = _nodes(spark, sf_dir, "root file language name signature body").withColumn("kind", F.lit("import")).withColumn("name", F.concat_ws(" ", "name", "signature", "body"))
     return passes.frameworks(n).groupBy("framework").agg(F.count("*").alias("files"))
 
 
 def link07_test_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.test_links(_nodes(spark, sf_dir)).select("source_id", "target_id")
+    return passes.test_links(_nodes(spark, sf_dir, "root file name kind decorators is_test")).select("source_id", "target_id")
 
 
 def link08_import_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.import_calls(_nodes(spark, sf_dir)).select("source_id", "target_id")
+    return passes.import_calls(_nodes(spark, sf_dir, "root file name kind language body")).select("source_id", "target_id")
 
 
 def link08_imported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).where("kind = 'import'")
+    n = _nodes(spark, sf_dir, "name kind").where("kind = 'import'")
     return n.select(F.explode(passes.imported_names(F.col("name"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def e06_same_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.same_file_calls(_nodes(spark, sf_dir)).select("source_id", "target_id")
+    return passes.same_file_calls(_nodes(spark, sf_dir, "root file name kind body")).select("source_id", "target_id")
 
 
 def link09_directory_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.directory_modules(_nodes(spark, sf_dir)).select("source_id", "target_id")
+    return passes.directory_modules(_nodes(spark, sf_dir, "root file kind")).select("source_id", "target_id")
 
 
 def link10_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first quoted literal after "Error(" in every function."""
-    n = _nodes(spark, sf_dir).where("kind = 'function'")
+    n = _nodes(spark, sf_dir, "kind body").where("kind = 'function'")
     return n.select("id", P.quoted_after("body", "Error(").alias("literal")).where("literal is not null")
 
 
 def link11_quoted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).where("kind = 'function'")
+    n = _nodes(spark, sf_dir, "kind body").where("kind = 'function'")
     return n.select("id", F.explode(P.all_quoted_after("body", "Error(")).alias("literal")).groupBy("literal").agg(F.count("*").alias("n"))
 
 
 def link12_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file's path as a normalized route, counted."""
-    n = _nodes(spark, sf_dir).select("root", F.concat(F.lit("/"), F.col("file")).alias("path")).distinct()
+    n = _nodes(spark, sf_dir, "root file").select("root", F.concat(F.lit("/"), F.col("file")).alias("path")).distinct()
     return n.select(P.normalized_route("path").alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
 def link13_method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).where("kind = 'function'")
+    n = _nodes(spark, sf_dir, "kind body").where("kind = 'function'")
     return n.select(F.explode(P.method_call_sites("body")).alias("site")).groupBy("site").agg(F.count("*").alias("functions"))
 
 
 def link16_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as merges of the file they name."""
     d = _documents(spark, sf_dir).where("file_path is not null").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.array("file_path").alias("files"))
-    return passes.merge_links(d, _nodes(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n"))
+    return passes.merge_links(d, _nodes(spark, sf_dir, "file kind")).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
 def link17_subsystems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).withColumn("subsystem", F.split_part("file", F.lit("/"), F.lit(1)))
+    n = _nodes(spark, sf_dir, "root file").withColumn("subsystem", F.split_part("file", F.lit("/"), F.lit(1)))
     return passes.subsystem_nodes(n).select("source_id", "target_id")
 
 
 def link18_subsystem_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages as what 70% of a directory's files use."""
-    n = _nodes(spark, sf_dir).where("language is not null")
+    n = _nodes(spark, sf_dir, "root file language").where("language is not null")
     members = n.select(F.concat_ws("/", "root", F.split_part("file", F.lit("/"), F.lit(1))).alias("subsystem"), "root", "file")
     used = n.select("root", "file", F.lower("language").alias("framework")).distinct()
     return passes.subsystem_frameworks(members, used).select("subsystem", "framework", F.round("share", 6).alias("share"))
@@ -168,7 +168,7 @@ def link18_subsystem_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j15_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare file names resolved to the only file that ends with them."""
-    files = _nodes(spark, sf_dir).select("file").where("file <> ''").distinct()
+    files = _nodes(spark, sf_dir, "file").select("file").where("file <> ''").distinct()
     paths = files.select(F.element_at(F.split("file", "/"), -1).alias("path")).distinct()
     return passes.resolve_by_suffix(paths, files).select("path", "file")
 
@@ -214,7 +214,7 @@ def g24_outcome_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = d.select(F.col("doc_id").cast("string").alias("hash"), F.coalesce("text", F.lit("")).alias("message"), F.array_compact(F.array("file_path")).alias("files"))
     outcomes = spark.createDataFrame([("core", ["src/core/*"]), ("docs", ["docs/*", "*.md"])], "outcome string, patterns array<string>")
     hits = passes.outcome_commits(outcomes, commits)
-    symbols = passes.outcome_symbols(hits, commits, _nodes(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("symbols"))
+    symbols = passes.outcome_symbols(hits, commits, _nodes(spark, sf_dir, "file kind")).groupBy("outcome").agg(F.count("*").alias("symbols"))
     return hits.groupBy("outcome").agg(F.count("*").alias("commits")).join(symbols, "outcome", "left").select("outcome", "commits", F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
 
@@ -232,7 +232,7 @@ def r03_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol search by name with filters, sort and limit, through the API."""
     from skein.plans import api
 
-    return api.search(G.load(spark, sf_dir), query="batch", kind="function", limit=20).select("id", "place")
+    return api.search(G.load(spark, sf_dir, "kind name signature file importance"), query="batch", kind="function", limit=20).select("id", "place")
 
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
