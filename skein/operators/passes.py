@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 
 from skein import schema
 from skein.functions import predicates as P
+from skein.operators.graph import containing
+from skein.session import salted_join
 
 
 def edges(df: DataFrame, source: str, target: str, kind, confidence: str = "detected") -> DataFrame:
@@ -118,7 +120,7 @@ def url_links(nodes: DataFrame) -> DataFrame:
     """Literals that look like paths depend on the endpoints of the same normalized path."""
     ends = nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("target"), P.normalized_route(meta("http_path")).alias("route")).where("route is not null")
     lits = nodes.where((F.col("kind") == "const") & (meta("synthetic") == "true") & P.looks_like_url_path("name")).select("id", P.normalized_route("name").alias("route"))
-    return edges(lits.join(ends, "route"), "id", "target", "depends_on")
+    return edges(salted_join(lits, ends, ["route"], ["id"]), "id", "target", "depends_on")
 
 
 def sdk_links(nodes: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def sdk_links(nodes: DataFrame) -> DataFrame:
     first = edges(hit.where("n = 1"), "id", "target", "implements")
     rest = fns.join(hit.select("id"), "id", "left_anti")
     urls = nodes.where((F.col("kind") == "const") & P.looks_like_url_path("name")).select("root", "file", F.col("line_start").alias("line"), P.normalized_route("name").alias("route"))
-    on_lines = rest.join(urls, ["root", "file"]).where("line between line_start and line_end")
+    on_lines = containing(urls, rest)
     unique = ends.groupBy("route", "method").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
     return first.unionByName(edges(on_lines.join(unique, ["route", "method"]), "id", "target", "implements")).distinct()
 
@@ -204,7 +206,7 @@ def import_calls(nodes: DataFrame) -> DataFrame:
     bound = nodes.where("kind = 'import'").select("root", "file", F.explode(imported_names(F.col("name"))).alias("name")).where("length(name) >= 4").distinct()
     used = sites.join(bound, ["root", "file", "name"]).where("caller <> name")
     defined = fns.select(F.col("id").alias("target"), F.col("root").alias("troot"), F.col("file").alias("tfile"), "name", "family")
-    hits = used.join(defined, ["name", "family"]).where("root <> troot or file <> tfile")
+    hits = salted_join(used, defined, ["name", "family"], ["id"]).where("root <> troot or file <> tfile")
     return edges(hits, "id", "target", "calls")
 
 
@@ -334,9 +336,9 @@ def rpc_calls(nodes: DataFrame) -> DataFrame:
     fns = nodes.where("kind = 'function' and body is not null").join(imports.select("root", "file").distinct(), ["root", "file"], "left_semi")
     sites = fns.select("id", F.col("name").alias("caller"), F.explode(P.method_call_sites("body")).alias("site"))
     rpcs = nodes.where((F.col("kind") == "function") & meta("parent_service").isNotNull()).select(F.col("id").alias("target"), F.col("name").alias("rpc"))
-    exact = sites.join(rpcs, F.col("site") == F.col("rpc"))
-    rest = sites.join(exact.select("id", "site"), ["id", "site"], "left_anti")
-    hits = exact.select("id", "target", "caller", "rpc").unionByName(rest.join(rpcs, P.pascal_case("site") == F.col("rpc")).select("id", "target", "caller", "rpc"))
+    known = rpcs.select(F.col("rpc").alias("site")).distinct().withColumn("exact", F.lit(True))
+    keyed = sites.join(known, "site", "left").withColumn("rpc", F.when(F.col("exact"), F.col("site")).otherwise(P.pascal_case("site")))
+    hits = salted_join(keyed.select("id", "caller", "rpc"), rpcs, ["rpc"], ["id"])
     return edges(hits.where("caller <> rpc and id <> target"), "id", "target", "calls")
 
 
@@ -354,6 +356,22 @@ def subsystem_nodes(labels: DataFrame) -> DataFrame:
     return edges(labels.withColumn("target", F.concat_ws(":", "root", F.lit("subsystems"), "subsystem", F.lit("subsystem"))), "id", "target", "belongs_to")
 
 
+def glob_matches(files: DataFrame, globs: DataFrame) -> DataFrame:
+    """F12 as a join: ``files`` (file, ...) with every pattern of ``globs`` (pattern, ...) that they match.
+
+    Files meet patterns by the text before the first star, so no file is compared with a pattern that starts
+    otherwise; patterns without a star by the whole path.
+    """
+    head = F.split_part("pattern", F.lit("*"), F.lit(1))
+    stars = F.length("pattern") - F.length(F.replace("pattern", F.lit("*"), F.lit("")))
+    g = globs.where("pattern is not null").withColumn("_head", head)
+    lengths = g.where(stars > 0).agg(F.coalesce(F.collect_set(F.length("_head")), F.array().cast("array<int>")).alias("lengths")).scalar()
+    whole = files.join(g.where(stars == 0).withColumnRenamed("_head", "_key"), files.file == F.col("_key")).drop("_key")
+    keyed = files.withColumn("_sizes", lengths).withColumn("_size", F.explode("_sizes")).where(F.col("_size") <= F.length("file")).withColumn("_head", F.substr("file", F.lit(1), F.col("_size"))).drop("_size", "_sizes")
+    begun = salted_join(keyed, g.where(stars > 0), ["_head"], ["file"]).where(P.simple_glob("file", "pattern")).drop("_head")
+    return whole.unionByName(begun)
+
+
 def outcome_commits(outcomes: DataFrame, commits: DataFrame) -> DataFrame:
     """Outcome, hash, how: commits tagged [outcome:id] (ignoring case), then those that touch the outcome's file patterns.
 
@@ -362,14 +380,14 @@ def outcome_commits(outcomes: DataFrame, commits: DataFrame) -> DataFrame:
     tags = commits.select("hash", F.explode(P.outcome_tags("message")).alias("tag")).select("hash", F.lower("tag").alias("tag"))
     tagged = tags.join(outcomes.select("outcome", F.lower("outcome").alias("tag")), "tag").select("outcome", "hash", F.lit(0).alias("how"))
     globs = outcomes.select("outcome", F.explode("patterns").alias("pattern"))
-    touched = commits.select("hash", F.explode("files").alias("file")).distinct().join(globs, P.simple_glob("file", "pattern")).select("outcome", "hash", F.lit(1).alias("how"))
+    touched = glob_matches(commits.select("hash", F.explode("files").alias("file")).distinct(), globs).select("outcome", "hash", F.lit(1).alias("how"))
     return tagged.unionByName(touched).groupBy("outcome", "hash").agg(F.min("how").alias("how"))
 
 
 def outcome_merges(outcomes: DataFrame, merges: DataFrame, serves: DataFrame) -> DataFrame:
     """Outcome, merge: by a serves edge (merge, outcome) or by file pattern."""
     globs = outcomes.select("outcome", F.explode("patterns").alias("pattern"))
-    touched = merges.select(F.col("id").alias("merge"), F.explode("files").alias("file")).join(globs, P.simple_glob("file", "pattern")).select("outcome", "merge")
+    touched = glob_matches(merges.select(F.col("id").alias("merge"), F.explode("files").alias("file")), globs).select("outcome", "merge")
     served = serves.join(outcomes.select(F.col("outcome").alias("known")), F.lower("outcome") == F.lower("known")).select(F.col("known").alias("outcome"), "merge")
     return served.unionByName(touched).distinct()
 
@@ -380,6 +398,24 @@ def outcome_symbols(hits: DataFrame, commits: DataFrame, nodes: DataFrame) -> Da
     return files.join(nodes.where("kind <> 'import'").select("id", "file"), "file").select("outcome", "id").distinct()
 
 
+def outcome_sections(outcomes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Outcome, id: the markdown sections (id, body) that name an outcome as a word, ignoring case. outcomes: outcome."""
+    words = sections.where("body is not null").select("id", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\p{L}\p{N}_-]+"))).alias("word"))
+    return words.join(outcomes.select("outcome", F.lower("outcome").alias("word")), "word").select("outcome", "id").distinct()
+
+
+def deduped(edges_: DataFrame) -> DataFrame:
+    """One row for each (source_id, edge_type, target_id): a confirmed edge before a detected one, then the smallest values. Edges with a null end or kind are none."""
+    keys = ["source_id", "edge_type", "target_id"]
+    rest = [c for c in edges_.columns if c not in keys]
+    good = edges_.where("source_id is not null and target_id is not null and edge_type is not null")
+    if not rest:
+        return good.distinct()
+    rank = [F.when(F.col(c) == "confirmed", 0).otherwise(1) for c in rest if c == "edge_confidence"]
+    one = good.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*rank, *rest)).alias("r"))
+    return one.select(*keys, "r.*").select(*edges_.columns)
+
+
 def dirty_only(nodes: DataFrame, dirty: list[str] | None) -> DataFrame:
     """None means all roots, an empty list none."""
     return nodes if dirty is None else nodes.where(F.col("root").isin(dirty)) if dirty else nodes.where("false")

@@ -301,6 +301,26 @@ def statistics(graph: Graph) -> DataFrame:
     return symbols.join(edges, "root", "full").select("root", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("symbols", "files", "languages", "edges")])
 
 
+def root_statistics(graph: Graph, frameworks: DataFrame) -> DataFrame:
+    """``statistics`` with the frameworks (root, file, framework) that a root's files use, in alphabetical order, of a fixed list of rules."""
+    used = frameworks.groupBy("root").agg(F.array_sort(F.collect_set("framework")).alias("frameworks"))
+    return statistics(graph).join(used, "root", "left").withColumn("frameworks", F.coalesce("frameworks", F.array().cast("array<string>")))
+
+
+def affected_subsystems(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Affected: the number of subsystems that hold something of ``found`` (id). labels: id, subsystem."""
+    return found.select("id").distinct().join(labels.where("subsystem is not null"), "id").agg(F.countDistinct("subsystem").alias("affected"))
+
+
+def by_risk(radius: DataFrame, cap: int = 50, each: int = 10) -> DataFrame:
+    """The ``cap`` first symbols by risk, then name, then id, with their place; ``shown`` marks the first ``each`` of a risk."""
+    rank = F.array_position(F.array(*[F.lit(r) for r in schema.RISK_TIERS]), F.col("risk"))
+    top = radius.withColumn("_rank", rank).orderBy("_rank", "name", "id").limit(cap)
+    place = F.row_number().over(W.orderBy("_rank", "name", "id"))
+    within = F.row_number().over(W.partitionBy("_rank").orderBy("name", "id"))
+    return top.withColumns({"place": place, "shown": within <= each}).drop("_rank")
+
+
 def top_per_file(nodes: DataFrame, k: int = 3) -> DataFrame:
     """The k most important symbols of each file."""
     w = W.partitionBy("root", "file").orderBy(F.desc_nulls_last("importance"), "id")

@@ -64,8 +64,8 @@ def unit(v) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-#: Queries that one pass over all vectors answers.
-QUERY_BLOCK = 20_000
+#: Queries that one pass over all vectors answers: a task holds a table of this many by the rows of a step, about 100 MB.
+QUERY_BLOCK, STEP = 10_000, 500
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -93,6 +93,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_B
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def _top(scores, ids, k: int):
+    """The k best of each row, ties to the smaller id. Only rows with ties at the k-th place are sorted whole."""
+    import numpy as np
+
+    if scores.shape[1] > k:
+        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        chosen, chosen_ids = np.take_along_axis(scores, part, axis=1), np.take_along_axis(ids, part, axis=1)
+        tied = np.flatnonzero((scores >= chosen.min(axis=1, keepdims=True)).sum(axis=1) > k)
+        if len(tied):
+            order = np.lexsort((ids[tied], -scores[tied]), axis=1)[:, :k]
+            chosen[tied], chosen_ids[tied] = np.take_along_axis(scores[tied], order, axis=1), np.take_along_axis(ids[tied], order, axis=1)
+        return chosen, chosen_ids
+    return scores, ids
+
+
 def _best(vectors: DataFrame, asked: pd.DataFrame, k: int, size: int, out_schema: str) -> DataFrame:
     """The k best of each task's vectors for one block of queries."""
     import numpy as np
@@ -103,16 +118,15 @@ def _best(vectors: DataFrame, asked: pd.DataFrame, k: int, size: int, out_schema
         names, matrix = shared.value
         best, best_ids = np.full((len(names), 0), -1.0), None
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start : start + 2000]
+            for start in range(0, len(batch), STEP):
+                part = batch.iloc[start : start + STEP]
                 v = np.stack([np.asarray(x, dtype=float) for x in part["embedding"]])
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 s = np.maximum(np.round(matrix @ v.T, 12), 0)
                 ids = np.broadcast_to(part["id"].to_numpy(), s.shape)
                 both = np.concatenate([best, s], axis=1)
                 both_ids = ids if best_ids is None else np.concatenate([best_ids, ids], axis=1)
-                keep = np.lexsort((both_ids, -both), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(both, keep, axis=1), np.take_along_axis(both_ids, keep, axis=1)
+                best, best_ids = _top(both, both_ids, k)
         if best_ids is not None:
             yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": best_ids.ravel(), "score": best.ravel()})
 
@@ -206,6 +220,50 @@ def embedding_text(name, doc, body, budget: int = 650) -> Column:
     return F.substring(F.concat_ws("\n", name, doc, body), 1, budget)
 
 
+def full_text(name, doc, body, types, metadata, budget: int = 650) -> Column:
+    """Name, documentation, body, inferred types and metadata (a map) of a symbol in ``budget`` characters.
+
+    Behind the name at least half of the budget is kept from the metadata, of which whole entries are taken in the order
+    of their keys. Of the rest types get up to a sixth, documentation half of what then remains, the body the rest.
+    """
+    name, doc, body, types = (F.coalesce(x, F.lit("")) for x in (name, doc, body, types))
+    after = F.greatest(F.lit(budget - 1) - F.length(name), F.lit(0))
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce(metadata, F.create_map().cast("map<string,string>")))), lambda e: F.concat(F.lit(" "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
+    room = F.greatest(after - budget // 2, F.lit(0))
+
+    def take(acc, e):
+        fits = acc["open"] & (acc["used"] + F.length(e) <= room)
+        return F.struct((acc["used"] + F.when(fits, F.length(e)).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["text"], e)).otherwise(acc["text"]).alias("text"), fits.alias("open"))
+
+    meta = F.aggregate(entries, F.struct(F.lit(0).alias("used"), F.lit("").alias("text"), F.lit(True).alias("open")), take)
+    left = F.greatest(after - meta["used"], F.lit(0))
+    of_types = F.least((left / 6).cast("int"), F.length(types))
+    rest = left - of_types
+    of_doc = F.least((rest / 2).cast("int"), F.length(doc))
+    of_body = F.when(doc == "", rest).otherwise(F.greatest(rest - of_doc - 1, F.lit(0)))
+    part = lambda text, size: F.when((text != "") & (size > 0), F.concat(F.lit(" "), F.substr(text, F.lit(1), size))).otherwise("")
+    return F.substring(F.concat(name, part(doc, of_doc), part(body, of_body), part(types, of_types), meta["text"]), 1, budget)
+
+
+def index_rows(nodes: DataFrame, artifacts: DataFrame | None = None, commits: DataFrame | None = None, merges: DataFrame | None = None, newest_commits: int = 100, newest_merges: int = 50) -> DataFrame:
+    """Id, kind, title, text of all that search finds: code (kind code:x), artifacts, and the newest commits and merges.
+
+    nodes: id, kind, name, language, body, doc_comment; artifacts: id, kind, title, frontmatter map, body; commits: hash, message, timestamp;
+    merges: hash, title, branch, timestamp. An artifact's text is its id, its fields in the order of their keys and its body, in 500 characters.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    out = nodes.where(P.embeddable("kind")).select("id", F.concat(F.lit("code:"), "kind").alias("kind"), F.concat(F.concat_ws(" ", "kind", "name"), F.lit(" ("), F.coalesce("language", F.lit("")), F.lit(")")).alias("title"), full_text(F.col("name"), F.col("doc_comment"), F.col("body"), F.lit(None).cast("string"), empty).alias("text"))
+    if artifacts is not None:
+        pairs = F.transform(F.array_sort(F.map_entries(F.coalesce("frontmatter", empty))), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
+        text = F.substring(F.concat_ws(" ", F.col("id"), F.nullif(F.array_join(pairs, " "), F.lit("")), F.col("body")), 1, 500)
+        out = out.unionByName(artifacts.select("id", "kind", "title", text.alias("text")))
+    for rows, kind, title, body, count in ((commits, "commit", F.split_part("message", F.lit("\n"), F.lit(1)), F.col("message"), newest_commits), (merges, "merge", F.col("title"), F.concat_ws(" ", "title", "branch"), newest_merges)):
+        if rows is not None:
+            top = rows.orderBy(F.desc("timestamp"), "hash").limit(count)
+            out = out.unionByName(top.select(F.concat(F.lit(f"{kind}:"), "hash").alias("id"), F.lit(kind).alias("kind"), title.alias("title"), F.substring(body, 1, 500).alias("text")))
+    return out
+
+
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
     """Id, embedding: a deterministic stand-in for a model: word counts hashed into ``size`` places, of length 1.
 

@@ -37,20 +37,60 @@ def filtered(nodes: DataFrame, kind=None, language=None, file=None, root=None, s
     return nodes
 
 
-def search(graph: G.Graph, query: str | None = None, node: str | None = None, nodes: list[str] | None = None, mode: str | None = None, limit: int = LIMIT, sort_by: str = "relevance", hops: int | None = None, edge_types: list[str] | None = None, direction: str = "outgoing", **filters) -> DataFrame:
+def search(graph: G.Graph, query: str | None = None, node: str | None = None, nodes: list[str] | None = None, mode: str | None = None, limit: int = LIMIT, sort_by: str = "relevance", hops: int | None = None, edge_types: list[str] | None = None, direction: str = "outgoing", vectors: DataFrame | None = None, asked: DataFrame | None = None, scorer=None, target_subsystem: str | None = None, **filters) -> DataFrame:
     """A list of nodes, else a traversal mode, else one node, else flat search. Nothing is collected."""
     if nodes:
         return batch(graph, nodes, mode, edge_types)
     if mode:
-        return traverse(graph, node or query, mode, hops, edge_types, direction)
+        return traverse(graph, node or query, mode, hops, edge_types, direction, filters.get("subsystem"), target_subsystem)
     if node:
         return entry_points(graph, node)
+    if vectors is not None and query:
+        return by_vector(graph, query, vectors, asked, limit, sort_by, scorer, **filters)
     hits = filtered(graph.nodes, **filters)
     if query:
         hits = hits.where(P.name_or_signature("name", "signature", query))
-    order = {"relevance": S.relevance_order(query or ""), "complexity": [F.desc_nulls_last("cyclomatic"), F.asc("id")], "importance": [F.desc_nulls_last("importance"), F.asc("id")]}[sort_by]
-    top = hits.orderBy(*order).limit(limit)
-    return top.select("*", F.row_number().over(W.orderBy(*order)).alias("place"))
+    return _best(hits, _order(sort_by, query), limit)
+
+
+def _order(sort_by: str, query: str | None) -> list:
+    orders = {"relevance": S.relevance_order(query or ""), "complexity": [F.desc_nulls_last("cyclomatic"), F.asc("id")], "importance": [F.desc_nulls_last("importance"), F.asc("id")]}
+    if sort_by not in orders:
+        raise ValueError(f"unknown order {sort_by}; known: {', '.join(orders)}")
+    return orders[sort_by]
+
+
+def _best(hits: DataFrame, order: list, limit: int) -> DataFrame:
+    return hits.orderBy(*order).limit(limit).select("*", F.row_number().over(W.orderBy(*order)).alias("place"))
+
+
+def by_vector(graph: G.Graph, query: str, vectors: DataFrame, asked: DataFrame, limit: int = LIMIT, sort_by: str = "relevance", scorer=None, **filters) -> DataFrame:
+    """The nodes nearest to a query's vector, supplemented by name matches, sorted or reranked, with their place.
+
+    ``vectors`` has id, embedding; ``asked`` one row query, embedding. Filters come before the search, so ``limit``
+    neighbours are enough. Name matches take the last places; without another order the result is in that of the tiers.
+    """
+    kept = filtered(graph.nodes, **filters).where(P.embeddable("kind"))
+    pool = vectors.join(kept.select("id"), "id", "left_semi")
+    near = S.nearest(pool, asked, limit).select("id", "score")
+    named = kept.where(P.name_or_signature("name", "signature", query)).select("id", F.coalesce("importance", F.lit(0.0)).alias("score"))
+    hits = cut(S.supplement(near, named, limit), "hits").join(kept, "id")
+    if scorer is None or sort_by != "relevance":
+        return _best(hits, _order(sort_by, query), limit)
+    ranked = S.rerank(hits.withColumn("text", F.concat_ws("\n", "signature", "body")), query, scorer)
+    return _best(ranked, [F.desc_nulls_last("rerank"), *_order("relevance", query)], limit).drop("text")
+
+
+def sections(graph: G.Graph, query: str, artifacts: DataFrame, markdown: DataFrame, limit: int = LIMIT, artifact_kinds: list[str] | None = None, **more) -> dict[str, DataFrame]:
+    """One search in three sections: code symbols, artifacts (id, kind, title, text) and markdown sections (id, name, level, body).
+
+    R09: artifacts are chosen by kind before the best are taken. They are ranked by the words of the query, sections by ``section_score``.
+    """
+    chosen = artifacts if artifact_kinds is None else artifacts.where(F.col("kind").isin(artifact_kinds))
+    by_word = S.bm25(S.postings(chosen, "id", "text"), S.corpus_lengths(chosen, "text"), query)
+    found = S.placed(by_word.select("id", F.round("score", 9).alias("score")), limit).join(chosen.select("id", "kind", "title"), "id")
+    scored = markdown.select("id", F.round(S.section_score(query, F.col("name"), F.col("level"), F.col("body")), 9).alias("score")).where("score is not null").distinct()
+    return {"symbols": search(graph, query=query, limit=limit, **more), "artifacts": found, "markdown": S.placed(scored, limit)}
 
 
 def entry_points(graph: G.Graph, wanted: str) -> DataFrame:
@@ -65,26 +105,32 @@ def entry_points(graph: G.Graph, wanted: str) -> DataFrame:
     return hits.where(F.col("match") == hits.agg(F.min("match")).scalar()).drop("match")
 
 
-def traverse(graph: G.Graph, wanted: str, mode: str, hops: int | None = None, edge_types: list[str] | None = None, direction: str = "outgoing") -> DataFrame:
-    """Neighbors, impact, reachable, tests_for, cycles from the entry points of a name."""
-    if mode in ("tests_for", "cycles") and edge_types:
+def traverse(graph: G.Graph, wanted: str, mode: str, hops: int | None = None, edge_types: list[str] | None = None, direction: str = "outgoing", subsystem: str | None = None, target_subsystem: str | None = None) -> DataFrame:
+    """Neighbors, impact, reachable, tests_for, cycles from the entry points of a name.
+
+    With ``subsystem`` or ``target_subsystem`` only nodes in it (or below it) are kept; nodes then need a column subsystem.
+    """
+    if mode in ("impact", "tests_for", "cycles") and edge_types:
         raise ValueError(f"{mode} takes no edge_types")
     start = entry_points(graph, wanted).select("id")
     if mode == "cycles":
-        comps = G.components(graph.edges)
+        comps = cut(G.components(graph.edges), "components")
         return comps.join(comps.join(start, "id", "left_semi").select("component").distinct(), "component", "left_semi").select("id", "component")
+    if mode not in DEFAULT_HOPS:
+        raise ValueError(f"unknown mode {mode}")
     hops = hops or DEFAULT_HOPS[mode]
     if mode == "impact":
-        found = G.reach(graph.edges, start, hops, "incoming", edge_types or schema.IMPACT_EDGES, True)
+        found = G.reach(graph.edges, start, hops, "incoming", schema.IMPACT_EDGES, True)
     elif mode == "tests_for":
         found = G.reach(graph.edges, start, hops, "incoming", ["calls"], True)
     elif mode == "neighbors":
         found = G.levels(graph.edges, start, hops, direction, edge_types).withColumn("first_kind", F.lit(None).cast("string"))
-    elif mode == "reachable":
-        found = G.reach(graph.edges, start, hops, direction, edge_types, True)
     else:
-        raise ValueError(f"unknown mode {mode}")
+        found = G.reach(graph.edges, start, hops, direction, edge_types, True)
     out = G.with_nodes(found, graph.nodes).where(F.col("kind").isNull() | P.shown_in_traversal("kind"))
+    for name in (subsystem, target_subsystem):
+        if name is not None:
+            out = out.join(graph.nodes.where(P.in_subsystem("subsystem", name)).select("id"), "id", "left_semi")
     return out.where(P.is_test_path("file")) if mode == "tests_for" else out
 
 
@@ -100,6 +146,8 @@ def batch(graph: G.Graph, ids: list[str], mode: str | None = None, edge_types: l
     """The nodes of a list of ids (full or short), or their traversal."""
     if mode == "neighbors" and depth > 1:
         raise ValueError("neighbors of several nodes have a depth of 1")
+    if mode in ("impact", "tests_for") and edge_types:
+        raise ValueError(f"{mode} takes no edge_types")
     wanted = graph.nodes.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "wanted string")
     found = G.resolve_ids(wanted, graph.nodes)
     if not mode:
@@ -117,24 +165,32 @@ def impact_summary(found: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return hit.groupBy("root", folder.alias("folder")).agg(F.countDistinct("id").alias("affected"), F.min_by("id", F.struct("hop", "id")).alias("entry"))
 
 
-def repo_map(graph: G.Graph, top_n: int = 15) -> dict[str, DataFrame]:
-    """Top symbols, communities (those over half of all nodes are dropped), their interfaces, hotspots, entry points."""
+def repo_map(graph: G.Graph, top_n: int = 15, outcomes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Top symbols, communities (those over half of all nodes are dropped), their interfaces, hotspots, entry points, outcomes."""
     labels = cut(R.subsystems(graph, R.communities(graph)), "labels")
     sizes = R.cohesion(graph, labels).join(R.community_names(graph.nodes, labels), "community")
     total = sizes.agg(F.sum("size")).scalar()
     shown = sizes.where(F.col("size") <= total * 0.5).orderBy(F.desc("size"), "community").limit(15)
-    return {"top_symbols": R.top_symbols(graph.nodes, top_n), "communities": shown, "interfaces": R.interfaces(graph, labels, graph.nodes), "hotspots": R.hotspots(graph.nodes), "entry_points": R.entry_points(graph.nodes)}
+    out = {"top_symbols": R.top_symbols(graph.nodes, top_n), "communities": shown, "interfaces": R.interfaces(graph, labels, graph.nodes), "hotspots": R.hotspots(graph.nodes), "entry_points": R.entry_points(graph.nodes)}
+    if outcomes is not None:
+        out["outcomes"] = outcomes
+    return out
 
 
-def outcome_progress(graph: G.Graph, outcomes: DataFrame, commits: DataFrame, include_impact: bool = False) -> dict[str, DataFrame]:
-    """Commits, symbols and (on request) the blast radius of outcomes."""
+def outcome_progress(graph: G.Graph, outcomes: DataFrame, commits: DataFrame, include_impact: bool = False, merges: DataFrame | None = None, serves: DataFrame | None = None, sections: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Commits and symbols of outcomes, their merges (J14), markdown sections that name them and (on request) the blast radius, by risk."""
     from skein.operators import passes
 
     hits = passes.outcome_commits(outcomes, commits)
     symbols = passes.outcome_symbols(hits, commits, graph.nodes)
     out = {"commits": hits, "symbols": symbols}
+    if merges is not None:
+        none = merges.sparkSession.createDataFrame([], "merge string, outcome string")
+        out["merges"] = passes.outcome_merges(outcomes, merges, none if serves is None else serves)
+    if sections is not None:
+        out["sections"] = passes.outcome_sections(outcomes, sections)
     if include_impact:
-        out["impact"] = G.blast_radius(graph, symbols.select("id").distinct())
+        out["impact"] = R.by_risk(G.blast_radius(graph, symbols.select("id").distinct()))
     return out
 
 

@@ -199,6 +199,18 @@ def bounded_join(big: DataFrame, small: Stored, on: list[str], how: str = "inner
     return left.join(right, [*on, salt], how).drop(salt)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of two sides of any size on keys of which one may hold a large share of both.
+
+    ``spread`` names columns of ``left`` that tell the rows of one key apart; a hot key's rows go to ``salts`` tasks, each with
+    the key's rows of ``right``. For joins whose result holds all pairs of a key by definition.
+    """
+    salt = "_salt"
+    a = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*on, salt]).drop(salt)
+
+
 def content_hash(cols: list[str]) -> list:
     """Two 64-bit hashes of the columns in which null differs from every value."""
     nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
