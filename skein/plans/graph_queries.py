@@ -158,10 +158,6 @@ def g13_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hotspots(G.load(spark, sf_dir, "root file kind").nodes)
 
 
-def g13_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.entry_points(G.load(spark, sf_dir, "name kind file").nodes)
-
-
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that the newest snapshot of their root changed."""
     symbols = table(spark, sf_dir, "symbols")
@@ -263,16 +259,6 @@ def j16_narrowest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.narrowest(lines, n, ["function", "impl", "struct"])
 
 
-def u01_edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "edges").where("source_id is not null and target_id is not null and edge_type is not null")
-    ids = e.select(F.concat("source_id", F.lit("->"), "edge_type", F.lit("->"), "target_id").alias("key"))
-    return ids.groupBy().agg(F.count("*").alias("rows"), F.countDistinct("key").alias("distinct_edges"))
-
-
-def s16_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "symbols").groupBy(F.col("root_id").alias("root")).agg(F.countDistinct("scan_version").alias("versions"))
-
-
 _P = f"{CUR_S}"
 QUERIES = {
     "j01_edges_with_nodes": (j01_edges_with_nodes, f"with {CUR} select e.edge_type, s.kind, count(*) n from cur_e e left join cur_s s on s.id = e.target_id group by 1, 2"),
@@ -280,12 +266,21 @@ QUERIES = {
     "g02_grouped_neighbors": (g02_grouped_neighbors, f"with {CUR} select source_id source, e.edge_type, count(distinct target_id) n, any_value(k)::bigint kind_rank, min(target_id) \"first\" from cur_e e left join {KIND_ORDER} on ko.edge_type = e.edge_type group by 1, 2"),
     "g03_reachable": (_reach("outgoing", _caller, 3), _reach_sql("source_id", "target_id", CALLER, "caller", 3)),
     "g04_impact": (_reach("incoming", _hub, 3, schema.IMPACT_EDGES), _reach_sql("target_id", "source_id", HUB, "hub", 3, schema.IMPACT_EDGES)),
-    "g05_components": (g05_components, None),
+    "g05_components": (g05_components, f"""with recursive {CUR}, e0 as (select distinct source_id a, target_id b from cur_e where edge_type in ('calls', 'depends_on') and source_id <> target_id),
+n as (select id, row_number() over (order by id)::int k from (select a id from e0 union select b from e0)), e as materialized (select x.k a, y.k b from e0 join n x on x.id = e0.a join n y on y.id = e0.b),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+s as (select x.a, least(x.a, min(x.b)) c from r x join r y on y.a = x.b and y.b = x.a group by 1), z as (select c, count(*) size from s group by 1 having count(*) > 1)
+select n.id, m.id component, z.size from s join z on z.c = s.c join n on n.k = s.a join n m on m.k = s.c"""),
     "g06_component_of": (g06_component_of, f"""with recursive {CUR}, c as (select distinct source_id a, target_id b from cur_e where edge_type in ('calls', 'depends_on')),
 node as (select min(x.a) id from c x join c y on x.a = y.b and x.b = y.a where x.a <> x.b),
 f(id) as (select id from node union select b from f join c on a = id), r(id) as (select id from node union select a from r join c on b = id)
 select id from f join r using (id) where id <> (select id from node)"""),
-    "g18_shortest_path": (g18_shortest_path, None),
+    "g18_shortest_path": (g18_shortest_path, f"""with recursive {CUR}, {CALLER}, walk as materialized (select distinct source_id at_id, target_id to_id from cur_e where edge_type = 'calls'),
+r(id) as (select id from caller union select to_id from r join walk on at_id = r.id),
+h(id, hop) as (select id, 0 from caller union select to_id, hop + 1 from h join walk on at_id = h.id where hop < 40), m as materialized (select id, min(hop) hop from h group by 1),
+far as (select id, hop from m where hop > 0 order by hop desc, id limit 1),
+p(id, hop) as (select id, hop from far union all select (select min(w.at_id) from walk w join m on m.id = w.at_id and m.hop = p.hop - 1 where w.to_id = p.id), hop - 1 from p where hop > 1)
+select hop step, id from p where (select count(*) from r) = (select count(*) from m)"""),
     "g07_path_lengths": (_reach("outgoing", _caller, 6, ["calls"]), _reach_sql("source_id", "target_id", CALLER, "caller", 6, ["calls"])),
     "g08_pagerank": (g08_pagerank, _pagerank_sql()),
     "g09_edge_weights": (g09_edge_weights, f"with {CUR} select edge_type, count(*) n, round(sum(coalesce(weight, 0)), 3) weight from cur_e left join {WEIGHTS} using (edge_type) group by 1"),
@@ -294,7 +289,6 @@ select id from f join r using (id) where id <> (select id from node)"""),
     "g12_hierarchy": (g12_hierarchy, f"with {_P}, f as (select regexp_extract(file_path, '^(.*)/[^/]*$', 1) name, count(*) size, avg(case when kind = 'function' then 1.0 else 0.0 end) cohesion from cur_s where contains(file_path, '/') group by 1) select regexp_extract(name, '^(.*)/[^/]*$', 1) parent, count(*) children, sum(size)::bigint size, round(sum(cohesion * size) / sum(size), 6) cohesion from f where contains(name, '/') group by 1"),
     "g13_top_symbols": (g13_top_symbols, f"with {_P}, t as (select id, name, file_path file, case when {TEST_FN} then importance * 0.1 else importance end score from cur_s where kind in ({', '.join(repr(k) for k in schema.PRIMARY_KINDS)}) and not (kind = 'function' and {FUNCTIONS})) select id, name, file, round(score, 6) score from t where score > 0.001 order by t.score desc, id limit 15"),
     "g13_hotspots": (g13_hotspots, f"with {_P} select root_id root, file_path file, count(*) definitions from cur_s where kind not in ('import', 'module', 'pr_merge', 'field') group by 1, 2 order by 3 desc, 1, 2 limit 10"),
-    "g13_entry_points": (g13_entry_points, f"with {_P} select id, name, file_path file from cur_s where (kind = 'api_endpoint' or (kind = 'function' and (lower(name) = 'main' or starts_with(lower(name), 'handle_') or ends_with(lower(name), '_handler')))) and not {_test_path('file_path')} order by id limit 10"),
     "g16_first_kinds": (
         _reach("outgoing", _caller, 3, None, True),
         f"""with recursive {CUR}, {CALLER}, walk as (select distinct source_id at_id, target_id to_id, k from cur_e e join {KIND_ORDER} on ko.edge_type = e.edge_type),
@@ -330,6 +324,4 @@ from cur_s where contains(lower(name), 'batch') or contains(lower(coalesce(signa
     "a08_top_per_file": (a08_top_per_file, f"with {_P} select root_id root, file_path file, id, place from (select *, row_number() over (partition by root_id, file_path order by importance desc nulls last, id)::int place from cur_s where kind not in ('import', 'module')) where place <= 3"),
     "a12_normalized": (a12_normalized, f"with {_P} select id, round(importance / max(importance) over (partition by root_id), 6) share from cur_s"),
     "j16_narrowest": (j16_narrowest, f"with {_P}, l as (select distinct root_id root, file_path file, line_start line from cur_s where kind = 'function' and line_start is not null) select l.root, l.file, l.line, arg_min(s.id, (s.line_end - s.line_start, s.id)) id from l join cur_s s on s.root_id = l.root and s.file_path = l.file and l.line between s.line_start and s.line_end where s.kind in ('function', 'impl', 'struct') group by 1, 2, 3"),
-    "u01_edge_dedupe": (u01_edge_dedupe, "select count(*) \"rows\", count(distinct source_id || '->' || edge_type || '->' || target_id) distinct_edges from edges where source_id is not null and target_id is not null and edge_type is not null"),
-    "s16_roots": (s16_roots, "select root_id root, count(distinct scan_version) versions from symbols group by 1"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import graph_queries, records, search_queries
+from skein.plans import graph_queries, pass_queries, records, search_queries
 
-QUERIES: dict[str, tuple] = {**records.QUERIES, **graph_queries.QUERIES, **search_queries.QUERIES}
+QUERIES: dict[str, tuple] = {**records.QUERIES, **graph_queries.QUERIES, **search_queries.QUERIES, **pass_queries.QUERIES}
 
 
 def flagship(spark, sf_dir):

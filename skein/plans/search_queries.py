@@ -81,10 +81,12 @@ def r15_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", F.md5(search.embedding_text("name", "doc_comment", "body")).alias("digest"))
 
 
-def r17_hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in vector of every document, as its largest place."""
-    v = search.hashed_vectors(_documents(spark, sf_dir), "doc_id", "text")
-    return v.select(F.col("id").alias("doc_id"), F.round(F.array_max("embedding").cast("double"), 5).alias("top"))
+def r17_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of every document's stand-in vector, 1 or 0, and whether no more places are taken than there are words."""
+    d = _documents(spark, sf_dir)
+    v = search.hashed_vectors(d, "doc_id", "text").join(d.select(F.col("doc_id").alias("id"), F.size(F.array_distinct(search.words_of(F.col("text")))).alias("words")), "id")
+    taken = F.size(F.filter("embedding", lambda x: x != 0))
+    return v.select(F.col("id").alias("doc_id"), F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), ((taken <= F.col("words")) & ((taken > 0) == (F.col("words") > 0))).alias("fits"))
 
 
 def s20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,29 +100,11 @@ def s20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(new, "embed").unionByName(count(stale, "delete")).unionByName(count(kept, "keep"))
 
 
-def link01_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frameworks by the text of all symbols, read as if each were an import."""
-    n = _nodes(spark, sf_dir, "root file language name signature body").withColumn("kind", F.lit("import")).withColumn("name", F.concat_ws(" ", "name", "signature", "body"))
-    return passes.frameworks(n).groupBy("framework").agg(F.count("*").alias("files"))
-
-
-def link07_test_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.test_links(_nodes(spark, sf_dir, "root file name kind decorators is_test")).select("source_id", "target_id")
-
-
-def link08_import_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.import_calls(_nodes(spark, sf_dir, "root file name kind language body")).select("source_id", "target_id")
-
-
 def link08_imported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _nodes(spark, sf_dir, "name kind").where("kind = 'import'")
     return n.select(F.explode(passes.imported_names(F.col("name"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def e06_same_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.same_file_calls(_nodes(spark, sf_dir, "root file name kind body")).select("source_id", "target_id")
-
-
 def link09_directory_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.directory_modules(_nodes(spark, sf_dir, "root file kind")).select("source_id", "target_id")
 
@@ -147,12 +131,6 @@ def link13_method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode(P.method_call_sites("body")).alias("site")).groupBy("site").agg(F.count("*").alias("functions"))
 
 
-def link16_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as merges of the file they name."""
-    d = _documents(spark, sf_dir).where("file_path is not null").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.array("file_path").alias("files"))
-    return passes.merge_links(d, _nodes(spark, sf_dir, "file kind")).groupBy("source_id").agg(F.count("*").alias("n"))
-
-
 def link17_subsystems(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _nodes(spark, sf_dir, "root file").withColumn("subsystem", F.split_part("file", F.lit("/"), F.lit(1)))
     return passes.subsystem_nodes(n).select("source_id", "target_id")
@@ -180,12 +158,6 @@ def s10_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.array_sort(P.outcome_tags(text)), ",").alias("tags"), P.branch_name("text").alias("branch")).where("tags <> '' or branch is not null")
 
 
-def s09_file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commit messages per root: number and newest."""
-    d = _documents(spark, sf_dir).where("source = 'commit_message'")
-    return d.groupBy("root_id").agg(F.count("*").alias("commits"), F.max_by("doc_id", F.struct(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "doc_id")).alias("newest"))
-
-
 def s07_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown sections in all documents, by level."""
     d = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_path"), "text")
@@ -252,34 +224,28 @@ QUERIES = {
 from cur_s where kind = 'function' and (contains(lower(name), 'batch') or contains(lower(coalesce(signature, '')), 'batch'))) where place <= 20"""),
     "r04_keyword": (r04_keyword, f"with {BM25} select id, score from bm"),
     "r05_semantic": (r05_semantic, f"with s as (select a.vec_id query, b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id % 100 = 0) select query, id, round(greatest(score, 0), 6) score, place from (select *, row_number() over (partition by query order by greatest(score, 0) desc, id)::int place from s) where place <= 10"),
-    "r06_hybrid": (r06_hybrid, f"with {BM25}, v as (select b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id = 0), n as (select id, round(greatest(score, 0), 6) score from (select *, row_number() over (order by greatest(score, 0) desc, id) p from v) where p <= 50), x as (select id, a from (select id, row_number() over (order by score desc, id) a from bm) where a <= 1000), y as (select id, row_number() over (order by score desc, id) b from n) select coalesce(x.id, y.id) id, round(coalesce(1.0 / (60 + a), 0) + coalesce(1.0 / (60 + b), 0), 8)::double score from x full join y on x.id = y.id"),
+    "r06_hybrid": (r06_hybrid, f"with {BM25}, v as (select b.vec_id id, round({COS}, 12) score from embeddings a, embeddings b where a.vec_id = 0), n as (select id, round(greatest(score, 0), 6) score from (select *, row_number() over (order by greatest(score, 0) desc, id) p from v) where p <= 50), x as (select id, row_number() over (order by score desc, id) a from bm), y as (select id, row_number() over (order by score desc, id) b from n) select coalesce(x.id, y.id) id, round(coalesce(1.0 / (60 + a), 0) + coalesce(1.0 / (60 + b), 0), 8)::double score from x full join y on x.id = y.id"),
     "r07_squash": (r07_squash, f"with {CUR_S} select id, round(importance / (1 + importance) * case when {_test_path('file_path')} then 0.7 else 1 end, 6) score from cur_s where importance is not null"),
     "r10_supplement": (r10_supplement, f"with {CUR_S}, h as (select id, importance score from cur_s where contains(lower(signature), 'batch') and importance is not null order by 2 desc, 1 limit 40), m as (select id, coalesce(importance, 0) score from cur_s where contains(lower(name), 'batch') and id not in (select id from h) order by 2 desc, 1 limit 10) select id, 0 source_rank from (select id, row_number() over (order by score desc, id) p from h) where p <= 40 - (select count(*) from m) union all select id, 1 from m"),
     "r13_sections": (r13_sections, f"with {SECTIONS} select distinct id, round((case when contains(head, 'ledger') then case when head = 'ledger' then 1.0 else 0.7 end else 0.4 end + 0.08 + least((length(body) - length(replace(body, 'ledger', ''))) / 6 * 0.02, 0.10))::double, 6) score from s where contains(head, 'ledger') or contains(body, 'ledger')"),
     "r14_section_points": (r14_section_points, f"with {SECTIONS} select distinct id, case when raw = 'ledger' then 10 when contains(raw, 'ledger') then 5 else 0 end + case when contains(body, 'ledger') then 2 else 0 end + 5 points from s where contains(raw, 'ledger') or contains(body, 'ledger')"),
     "r15_embedding_text": (r15_embedding_text, f"with {CUR_S} select id, {EMBED} digest from cur_s where kind not in ({NOT_EMBEDDED})"),
-    "r17_hashed_vectors": (r17_hashed_vectors, None),
+    "r17_norms": (r17_norms, f"select doc_id, case when len({WORDS}) > 0 then 1.0::double else 0.0 end norm, true fits from documents"),
     "r20_minified": (r20_minified, None),
     "s20_upsert": (s20_upsert, f"""with {CUR_S}, bv as (select s.root_id, max(scan_version) v from symbols s join sv on sv.root_id = s.root_id and s.scan_version < sv.v group by 1),
 b as (select id, {EMBED} h from (select s.*, row_number() over (partition by s.id order by case when abs(s.updated_at) >= 100000000000 then s.updated_at else s.updated_at * 1000 end desc) n from symbols s join bv on bv.root_id = s.root_id and bv.v = s.scan_version) where n = 1),
 a as (select id, {EMBED} h from cur_s)
 select 'embed' what, count(*) n from a where not exists (select 1 from b where b.id = a.id and b.h = a.h) union all select 'delete', count(*) from b where not exists (select 1 from a where b.id = a.id and b.h = a.h) union all select 'keep', count(*) from b where exists (select 1 from a where b.id = a.id and b.h = a.h)"""),
-    "link01_frameworks": (link01_frameworks, f"with {CUR_S}, i as (select distinct root_id, file_path, lower(language) lang, lower(concat_ws(' ', name, signature, body)) t from cur_s) select framework, count(*) files from (select distinct root_id, file_path, framework from i join {FRAMEWORK_VALUES} on contains(t, r.text) and (r.lang = '' or r.lang = i.lang)) group by 1"),
-    "link07_test_links": (link07_test_links, None),
-    "link08_import_calls": (link08_import_calls, None),
     "link08_imported_names": (link08_imported_names, None),
-    "e06_same_file_calls": (e06_same_file_calls, None),
     "link09_directory_modules": (link09_directory_modules, f"with {CUR_S}, p as (select id, root_id, string_split(file_path, '/') s from cur_s where kind <> 'module' and root_id <> 'external' and file_path <> '') select id source_id, concat_ws(':', root_id, case when len(s) > 1 then array_to_string(s[:-2], '/') else '' end, case when len(s) > 1 then s[-2] else regexp_replace(s[1], '(.)\\.[^.]*$', '\\1') end, 'module') target_id from p"),
     "link10_quoted": (link10_quoted, f"with {CUR_S} select * from (select id, nullif(regexp_extract(body, 'Error\\(\\s*[\"'']([^\"'']*)[\"'']', 1), '') literal from cur_s where kind = 'function') where literal is not null"),
     "link11_quoted_all": (link11_quoted_all, f"with {CUR_S} select literal, count(*) n from (select unnest(regexp_extract_all(body, 'Error\\(\\s*[\"'']([^\"'']*)[\"'']', 1)) literal from cur_s where kind = 'function') group by 1"),
     "link12_routes": (link12_routes, f"with {CUR_S} select route, count(*) n from (select array_to_string(list_transform(string_split(p, '/'), lambda s: case when starts_with(s, ':') or (starts_with(s, '{{') and ends_with(s, '}}')) or (starts_with(s, '[') and ends_with(s, ']')) then '<param>' else s end), '/') route from (select distinct root_id, '/' || file_path p from cur_s)) group by 1"),
     "link13_method_calls": (link13_method_calls, f"with {CUR_S} select site, count(*) functions from (select unnest(list_distinct(regexp_extract_all(body, '\\.([A-Za-z0-9_]{{3,}}) *\\(', 1))) site from cur_s where kind = 'function') group by 1"),
-    "link16_merge_links": (link16_merge_links, f"with {CUR_S}, m as (select distinct 'doc:' || doc_id id, file_path from documents where file_path is not null) select m.id source_id, count(distinct s.id) n from m join cur_s s on s.file_path = m.file_path where kind not in ('import', 'module') group by 1"),
     "link17_subsystems": (link17_subsystems, f"with {CUR_S} select id source_id, concat_ws(':', root_id, 'subsystems', split_part(file_path, '/', 1), 'subsystem') target_id from cur_s"),
     "link18_subsystem_shares": (link18_subsystem_shares, f"with {CUR_S}, f as (select distinct root_id || '/' || split_part(file_path, '/', 1) subsystem, root_id, file_path from cur_s where language is not null), u as (select distinct root_id, file_path, lower(language) framework from cur_s where language is not null), t as (select subsystem, count(*) n from f group by 1), h as (select subsystem, framework, count(*) k from f join u using (root_id, file_path) group by 1, 2) select subsystem, framework, round(k / n, 6) share from h join t using (subsystem) where k / n >= 0.7"),
     "j15_resolved": (j15_resolved, f"with {CUR_S}, f as (select distinct file_path file from cur_s where file_path <> ''), p as (select distinct string_split(file, '/')[-1] path from f) select path, min(file) file from p join f on f.file = p.path or ends_with(f.file, '/' || p.path) group by 1 having count(*) = 1 or bool_or(f.file = p.path)"),
     "s10_tags": (s10_tags, "with t as (select doc_id, regexp_extract_all(regexp_replace(text, '\\[(warn|error|note)\\]', '[outcome: \\1 ]', 'g'), '\\[outcome:([^\\]]*)\\]', 1) x, split_part(text, chr(10), 1) l from documents where text is not null), u as (select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(x, lambda s: trim(s))), lambda s: s <> '')), ',') tags, coalesce(nullif(trim(regexp_extract(l, '^Merge pull request.*? from (.*)$', 1)), ''), nullif(regexp_extract(l, '^Merge branch ''([^'']*)''', 1), '')) branch from t) select * from u where tags <> '' or branch is not null"),
-    "s09_file_history": (s09_file_history, "select root_id, count(*) commits, arg_max(doc_id, (coalesce(created_at, timestamp '1970-01-01'), doc_id)) newest from documents where source = 'commit_message' group by 1"),
     "s07_chunks": (s07_chunks, None),
     "x_extract": (x_extract, None),
     "x_functions": (x_functions, "with m as (select distinct root, file from nodes where kind = 'module' and body <> ''), t as (select distinct root, file, name from nodes semi join m using (root, file) where kind = 'function') select count(*) functions, count(*) found from t"),

@@ -22,8 +22,7 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", [k for k, (_, sql) in registry.QUERIES.items() if not sql])
 def test_query_without_sql_runs(spark, name):
-    df = registry.QUERIES[name][0](spark, DIR)
-    assert df.columns and df.count() >= 0
+    assert not registry.QUERIES[name][0](spark, DIR).isEmpty()
 
 
 def test_entry(spark):
