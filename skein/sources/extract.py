@@ -135,7 +135,7 @@ def python(out: Out, text: str) -> None:
             elif isinstance(n, (ast.Assign, ast.AnnAssign)) and not in_class:
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     if isinstance(t, ast.Name) and re.fullmatch(r"[A-Z][A-Z0-9_]*", t.id):
-                        out.edge(owner, out.node(t.id, "const", n.lineno, n.end_lineno, ast.unparse(n)[:200]), "defines")
+                        out.edge(owner, out.node(t.id, "const", n.lineno, n.end_lineno, ast.unparse(n)), "defines")
             elif isinstance(n, (ast.If, ast.Try, ast.With)):
                 visit([*n.body, *getattr(n, "orelse", []), *getattr(n, "finalbody", [])], owner, owner_name, in_class)
 
@@ -236,7 +236,7 @@ def _lexed(out: Out, text: str) -> None:
                         out.edge(iid, out.id(target[1], "module"), "depends_on")
     for m in re.finditer(_CONSTS[family], src.masked):
         name = next(g for g in m.groups() if g)
-        out.edge(module, out.node(name, "const", src.line(m.start()) + 1, signature=src.text[m.start() : src.text.find("\n", m.end()) if src.text.find("\n", m.end()) > 0 else len(text)].strip()[:200]), "defines")
+        out.edge(module, out.node(name, "const", src.line(m.start()) + 1, signature=src.text[m.start() : src.text.find("\n", m.end()) if src.text.find("\n", m.end()) > 0 else len(text)].strip()), "defines")
     if family in ("rust", "javascript"):
         for m in re.finditer(r"(?m)^\s*pub\s+use\s+[^;]*?(?:\{([^}]*)\}|::(\w+))\s*;|^export\s*(?:type\s*)?\{([^}]*)\}", src.masked):
             for name in re.findall(r"([A-Za-z_]\w*)(?:\s+as\s+\w+)?", m[1] or m[2] or m[3] or ""):
@@ -277,7 +277,7 @@ def sql(out: Out, text: str) -> None:
             else:
                 part += ch
     for m in re.finditer(rf"(?i)\balter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?{ident}\s+([^;]+)", plain):
-        aid = out.node(re.sub(r"\s+", " ", m[0])[:120], "sql_alter", line(m.start()), signature=re.sub(r"\s+", " ", m[0])[:200])
+        aid = out.node(re.sub(r"\s+", " ", m[0]), "sql_alter", line(m.start()), signature=re.sub(r"\s+", " ", m[0]))
         out.edge(aid, out.id(m[1], "sql_table"), "evolves")
     for m in re.finditer(rf"(?i)\bcreate\s+type\s+{ident}\s+as\s+enum\s*\(([^)]*)\)", plain):
         eid = out.node(m[1], "enum", line(m.start()))

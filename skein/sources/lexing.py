@@ -142,20 +142,56 @@ class Function:
     end: int  # offset behind the body
 
 
+_GENERIC = re.compile(r"[<>()\[\]{};]")
+
+
 def _generic_end(masked: str, at: int) -> int:
-    """Behind a <...> list that starts at ``at``."""
-    depth = 0
-    for k in range(at, min(len(masked), at + 2000)):
-        ch = masked[k]
-        if ch == "<":
+    """Behind a <...> list that starts at ``at``; -1 if the statement ends before it does."""
+    depth, nested = 0, 0
+    for m in _GENERIC.finditer(masked, at):
+        ch, k = m[0], m.start()
+        if ch in "([{":
+            nested += 1
+        elif ch in ")]}":
+            nested -= 1
+            if nested < 0:
+                return -1
+        elif ch == ";":
+            if not nested:
+                return -1
+        elif ch == "<":
             depth += 1
-        elif ch == ">" and masked[k - 1] not in "-=":
+        elif masked[k - 1] not in "-=":
             depth -= 1
             if depth == 0:
                 return k + 1
     return -1
 
 
+#: What may stand between a script function's parameters and its arrow or body, and behind the parameters of C-like functions.
+_ARROW = re.compile(r"\s*(?::[^;{=]*(?:\{[^}]*\}[^;{=]*)?)?=>")
+_METHOD_TAIL = re.compile(r"\s*(?::\s*[^;{}()=]*(?:\{[^}]*\}[^;{}()=]*)?)?\{")
+_C_TAIL = re.compile(r"\s*(?:const\b\s*|noexcept\b\s*|throws\b[\w\s.,<>]*|default\b[^;{]*)?([{;=:])")
+_DECLARED = re.compile(r"[ \t]*(?:@\w+[ \t]+)*(?:[\w<>\[\],.?]+[ \t]+)+")
+_LAST_WORD = re.compile(r"[\w$]")
+
+
+def _word_before(masked: str, at: int) -> str:
+    """The word that ends before the white space in front of ``at``."""
+    end = at
+    while end and masked[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and _LAST_WORD.match(masked, start - 1):
+        start -= 1
+    return masked[start:end]
+
+
+def _statement_before(masked: str, at: int) -> str:
+    """The text from the last line end, brace or semicolon to ``at``."""
+    return masked[max(masked.rfind(ch, 0, at) for ch in ";{}\n") + 1 : at]
+
+
 def functions(src: Source) -> list[Function]:
     """The functions and methods defined in a text, in order."""
     masked, kind, out, seen = src.masked, src.kind, [], set()
@@ -175,8 +211,7 @@ def functions(src: Source) -> list[Function]:
                 continue
             if masked[p] == "(":
                 q = close(masked, p)
-                after = masked[q : q + 400] if q > 0 else ""
-                if not re.match(r"\s*(?::[^;{=]*(?:\{[^}]*\}[^;{=]*)?)?=>", after):
+                if q < 0 or not _ARROW.match(masked, q):
                     continue
                 head = q
             else:
@@ -204,22 +239,20 @@ def functions(src: Source) -> list[Function]:
             if head < 0:
                 continue
         if kind in ("java", "c"):
-            before = masked[max(0, at - 200) : at].rstrip()
-            word = re.search(r"[\w$]+$", before)
-            if word and (word[0] in NOT_TYPES or word[0].isdigit()):
+            word = _word_before(masked, at)
+            if word in NOT_TYPES or word.isdigit():
                 continue
-            tail = re.match(r"\s*(?:const\b\s*|noexcept\b\s*|throws\b[\w\s.,<>]*|default\b[^;{]*)?([{;=:])", masked[head : head + 600])
+            tail = _C_TAIL.match(masked, head)
             if not tail or tail[1] in "=:":
                 continue
-            if tail[1] == ";" and not re.search(r"(?:^|[;{}\n])[ \t]*(?:@\w+[ \t]+)*(?:[\w<>\[\],.?]+[ \t]+)+$", masked[max(0, at - 200) : at]):
+            if tail[1] == ";" and not _DECLARED.fullmatch(_statement_before(masked, at)):
                 continue
             if tail[1] == ";" and kind == "c":
                 continue
             if tail[1] == ";" and _inside_call(masked, at):
                 continue
         elif group == "m":
-            tail = re.match(r"\s*(?::\s*[^;{}()=]*(?:\{[^}]*\}[^;{}()=]*)?)?\{", masked[head : head + 400])
-            if not tail:
+            if not _METHOD_TAIL.match(masked, head):
                 continue
         end = _body_end(src, head, at)
         start = src.starts[src.line(m.start("n") if group == "n" else at)]
@@ -255,7 +288,7 @@ def _body_end(src: Source, head: int, at: int) -> int:
     masked = src.masked
     if src.kind == "python":
         line = src.line(at)
-        first = masked[src.starts[line] :]
+        first = masked[src.starts[line] : at]
         indent = len(first) - len(first.lstrip(" \t"))
         colon = masked.find(":", head)
         k = src.line(colon if colon >= 0 else head) + 1

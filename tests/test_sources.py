@@ -254,3 +254,17 @@ def test_refresh_after_batches_equals_one_over_everything(spark, tmp_path):
     rank = lambda s: {r["id"]: round(r["importance"], 9) for r in s.load("symbols").collect()}
     assert edges(parts) == edges(whole) and rank(parts) == rank(whole)
     assert ("r:a.py:use:function->calls->r:lib.py:seal_tray:function", "pass") in edges(parts) and not any("tested_by" in i for i, _ in edges(parts))
+
+
+def test_long_heads_are_functions_too():
+    """No window behind or before a definition: long type lists, throws clauses, return types and modifiers."""
+    from skein.sources import lexing
+
+    throws = ", ".join(f"Exception{i}" for i in range(400))
+    java = f"class A {{\n  public {'Map<String, ' * 60}X{'>' * 60} get(int a) throws {throws} {{ return null; }}\n  void next() {{ }}\n}}\n"
+    assert [f.name for f in lexing.functions(lexing.read(java, "java"))] == ["get", "next"]
+    types = ", ".join(f"T{i} extends {{ a: string; b{i}: number }}" for i in range(300))
+    script = f"export const go = <{types}>(x: T1): {'Array<' * 200}T1{'>' * 200} => {{ return [x]; }};\nclass K {{\n  run(a: number): {{ {' '.join(f'k{i}: string,' for i in range(200))} }} {{ return 1; }}\n}}\nconst no = a < b;\n"
+    assert [f.name for f in lexing.functions(lexing.read(script, "javascript"))] == ["go", "run"]
+    rust = f"fn wide<{', '.join(f'A{i}: Fn(u8) -> u8' for i in range(300))}>(x: A1) -> A1 {{ x }}\n"
+    assert [f.name for f in lexing.functions(lexing.read(rust, "rust"))] == ["wide"]
