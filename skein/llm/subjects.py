@@ -11,15 +11,21 @@ expected counts per term, summed by a shuffle; only the topic-term table, whose
 size the vocabulary bounds, is on the driver. A document is about the subjects
 that hold enough of its subject tokens.
 
-Code blocks, links, paths and sentences that only compare or name something in
-passing don't count. Null and empty texts have no subjects. Repeated texts have
-the same subjects. Extra columns are ignored.
+Code blocks, links and paths don't count, nor do sentences that only name something in
+passing or for comparison. Such sentences are known by their wording, which is learned from the labelled examples: three
+words in a row that stand, again and again and with different subjects, where an example speaks of what it is not about.
+Null and empty texts have no subjects. Repeated texts have the same subjects. Extra columns are ignored.
+
+Words are runs of letters of any script. The most frequent terms of a language have a row of the topic table each; beyond
+its bound terms share rows by hash, so that every term counts and the table doesn't grow with the corpus. A text
+without function words of the four languages is read by the model that knows most of its terms.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +39,16 @@ from pyspark.sql import functions as F
 
 from skein.session import spread, store
 
-#: Labelled examples used at most; terms of a language kept at most (the most frequent), and the least number of documents of a term.
-EXAMPLES, VOCABULARY, LEAST_DOCS = 20_000, 40_000, 3
+#: Labelled examples used at most, and the least number of documents of a term.
+EXAMPLES, LEAST_DOCS = 20_000, 3
+#: Rows of a language's topic table for single terms (the most frequent), and rows that terms beyond those share.
+TABLE, SHARED = 200_000, 1 << 14
 BACKGROUND, ITERATIONS, INNER = 4, 10, 6
+#: Fitting ends when the topics have moved by less than this share of their mass in a turn.
+SETTLED = 0.01
 ALPHA_SUBJECT, ALPHA_BACKGROUND, ETA, STRENGTH, COGNATE = 0.1, 0.3, 0.01, 5.0, 0.3
+#: A wording marks passing mentions if it stands in this many sentences off an example's subjects, of this many subjects, and if this share of its sentences is off.
+LEAST_OFF, LEAST_SUBJECTS, OFF_SHARE = 4, 3, 0.75
 #: A subject needs this many tokens of a document, and this share of its subject tokens.
 LEAST_TOKENS, LEAST_SHARE = 3.0, 0.13
 
@@ -47,14 +59,9 @@ FUNCTION_WORDS = {
     "es": "el los las y con no por una al sin este esta cada del ya se antes ahora junto que es su mantiene entre al",
     "fr": "le les et des est une dans pour du avec plus on sans chaque ce aux à désormais avant sur pas au côté reste rien qui",
 }
-#: With these words a text mentions something only in passing or for comparison.
-PASSING = re.compile(
-    r"(?i)\bthink of (?:it|this|that) (?:like|as)\b|\bcode ?name\b|\bborrowed from\b|\bcompared? (?:it|this|that|them) (?:to|with)\b|\bno deeper meaning\b|\bnot quite right\b|\breminds? (?:me|us|one) of\b|\bby analogy\b|\bas if it were\b|\bmuch like (?:a|an)\b|\bmetaphor|\bmeeting room\b|\b(?:room|sprint|project|server|team|branch|milestone) (?:called|named|nicknamed)\b"
-    r"|\berinnert an\b|\bdeckname\b|\bmit (?:einem|einer) .{1,60} verglichen\b|\bstell\w* .{0,20} vor wie\b|\bnom de code\b|\bfait penser à\b|\bpensez à (?:un|une)\b|\bnombre en clave\b|\brecuerda a (?:un|una)\b|\bcomo si fuera\b"
-)
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _PLACE = re.compile(r"https?://\S+|\S*[/\\]\S*|\S+:\d+(?::\d+)?\b|^\s*\[\w+\]|&\w+;|\b[\w.]+\.(?:py|rs|ts|js|go|java|md|txt|toml|json|ya?ml)\b")
-_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _WRAPPED = re.compile(r"(?<=[^\s.!?:])[ \t]*\n[ \t]*(?=[^\s#>*|\[\]{}+=-])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[.!?]\))\s+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
@@ -73,8 +80,7 @@ _SHARED = {w for w, n in Counter(w for v in _MARKS.values() for w in v).items()
 LANGUAGES = tuple(_MARKS)
 
 
-#: Texts of which none is in a text that PASSING or _PLACE matches: most sentences are spared the patterns.
-_HINTS = ("think of", "code name", "codename", "borrowed", "compare", "deeper meaning", "not quite", "remind", "analogy", "as if it", "much like", "metaphor", " room", "called", "named", "erinnert", "deckname", "verglichen", " vor wie", "nom de", "penser", "pensez", "clave", "recuerda", "como si")
+#: Without one of these no place is named: most sentences are spared the pattern.
 _PLACE_HINT = re.compile(r"[/\\\[&]|:\d|\.[a-z]")
 
 
@@ -86,24 +92,67 @@ def sentences(text: str) -> list[str]:
     return [s for line in text.split("\n") if line for s in _SENTENCE.split(line) if s and not s.isspace()]
 
 
-def terms(text: str | None) -> Counter:
-    """Words and pairs of neighbouring words of a text, without passing mentions."""
-    found: list[str] = []
+def _plain(text: str) -> str:
+    return " ".join(_WORD.findall(text.lower()))
+
+
+def terms(text: str | None, markers: frozenset[str] = frozenset()) -> Counter:
+    """Words and pairs of neighbouring words of a text, without sentences that hold one of ``markers`` (see ``passing_markers``)."""
     if not text:
         return Counter()
-    low = text.lower()
-    hints = [h for h in _HINTS if h in low]
+    found: list[str] = []
+    if markers:
+        whole = f" {_plain(text)} "
+        markers = [m for m in markers if m in whole]
     for s in sentences(text):
-        if hints and any(h in s.lower() for h in hints) and PASSING.search(s):
+        if markers and _holds(f" {_plain(s)} ", markers):
             continue
-        if _PLACE_HINT.search(s):
-            s = _PLACE.sub(" ", s)
-        words = [singular(w) for w in _WORD.findall(_CAMEL.sub(" ", s))]
-        found += [w for w in words if len(w) > 1]
-        found += [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        found += sentence_terms(s)
     return Counter(found)
 
 
+def _holds(plain: str, markers) -> bool:
+    return any(m in plain for m in markers)
+
+
+def sentence_terms(sentence: str) -> list[str]:
+    if _PLACE_HINT.search(sentence):
+        sentence = _PLACE.sub(" ", sentence)
+    words = [singular(w) for w in _WORD.findall(_CAMEL.sub(" ", sentence))]
+    return [w for w in words if len(w) > 1] + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def passing_markers(examples: list[tuple[str, list[int]]], subjects: int) -> frozenset[str]:
+    """Three words in a row by which sentences are known that mention a subject only in passing, learned from labelled texts.
+
+    A sentence is off its text's subjects if the terms in it that tell a subject all tell others than the labelled ones.
+    """
+    split = [([(s, sentence_terms(s)) for s in sentences(text)], labels) for text, labels in examples]
+    n, weight = {}, np.zeros(subjects)
+    for parts, labels in split:
+        weight[labels] += 1 / len(labels)
+        for w in {w for _, found in parts for w in found}:
+            n.setdefault(w, np.zeros(subjects))[labels] += 1 / len(labels)
+    pi = (weight + 0.5) / (weight.sum() + 0.5 * subjects)
+    tells = {}
+    for w, count in n.items():
+        p = (count + pi) / (count.sum() + 1)
+        if count.sum() >= 2 and p.max() > 0.5 and (p / pi).argmax() == p.argmax():
+            tells[w] = int(p.argmax())
+    off, on, of = Counter(), Counter(), {}
+    for parts, labels in split:
+        for s, found in parts:
+            told = {tells[w] for w in found if w in tells}
+            words = _plain(s).split(" ")
+            for m in {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}:
+                if told and not told & set(labels):
+                    off[m] += 1
+                    of.setdefault(m, set()).update(told)
+                elif told:
+                    on[m] += 1
+    return frozenset(f" {m} " for m, k in off.items() if k >= LEAST_OFF and len(of[m]) >= LEAST_SUBJECTS and k >= OFF_SHARE * (k + on[m]))
+
+
 def language(found: Counter) -> str | None:
     votes = {lang: sum(n for w, n in found.items() if w in marks and w not in _SHARED) for lang, marks in _MARKS.items()}
     best = max(votes, key=votes.get)
@@ -262,7 +311,7 @@ def assign(counts: np.ndarray, subjects: int) -> np.ndarray:
 FEATURES = "doc bigint, lang string, terms array<string>, counts array<int>"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, markers: frozenset[str] = frozenset()) -> DataFrame:
     """doc_id, lang, terms, counts of every document with terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +319,7 @@ def features(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 rows = []
                 for doc, text in zip(batch["doc_id"].iloc[at : at + 1000], batch["text"].iloc[at : at + 1000], strict=True):
-                    if found := terms(text):
+                    if found := terms(text, markers):
                         rows.append((doc, language(found), list(found), list(found.values())))
                 yield pd.DataFrame(rows, columns=["doc", "lang", "terms", "counts"])
 
@@ -294,8 +343,16 @@ class Fitted:
 ENCODED = "doc bigint, lang int, sure boolean, cols array<int>, vals array<float>"
 
 
-def encoded(feats: DataFrame, indexes: dict[str, dict[str, int]]) -> DataFrame:
-    """Features with term ids instead of terms. A text without function words gets the language that knows most of its terms."""
+def shared_row(term: str) -> int:
+    """The shared row of a term that has none of its own."""
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SHARED
+
+
+def encoded(feats: DataFrame, indexes: dict[str, dict[str, int]], full: dict[str, bool]) -> DataFrame:
+    """Features with term ids instead of terms. A text without function words gets the language that knows most of its terms.
+
+    In languages whose table is ``full``, terms without a row take a shared one behind it; elsewhere they are in too few documents to be terms.
+    """
     shared = feats.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +364,13 @@ def encoded(feats: DataFrame, indexes: dict[str, dict[str, int]]) -> DataFrame:
                     sure = isinstance(lang, str)
                     lang = lang if sure else max(LANGUAGES, key=lambda x: sum(w in shared.value[x] for w in found))
                     index = shared.value[lang]
-                    pairs = [(k, n) for w, n in zip(found, counts, strict=True) if (k := index.get(w)) is not None]
+                    if full[lang]:
+                        pairs = Counter()
+                        for w, n in zip(found, counts, strict=True):
+                            pairs[index[w] if w in index else len(index) + shared_row(w)] += n
+                        pairs = list(pairs.items())
+                    else:
+                        pairs = [(k, n) for w, n in zip(found, counts, strict=True) if (k := index.get(w)) is not None]
                     rows.append((doc, LANGUAGES.index(lang), sure, [k for k, _ in pairs], [float(n) for _, n in pairs]))
                 yield pd.DataFrame(rows, columns=["doc", "lang", "sure", "cols", "vals"])
 
@@ -329,41 +392,60 @@ def tables(batch: pa.RecordBatch, rows: int = 2000):
             yield LANGUAGES[k], at + np.flatnonzero(mine), (np.concatenate([[0], np.cumsum(size[mine])]), flat[entry].astype(np.int64), count[entry])
 
 
-def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted, DataFrame]:
-    """Fit the models of all languages over stored features of all documents; the models and the encoded documents."""
-    spark = feats.sparkSession
-    names = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+@dataclass
+class Labelled:
+    """Subjects in order, and labelled texts (text, subject numbers) with the wordings of passing mentions learned from them."""
+
+    names: list[str]
+    texts: list[tuple[str, list[int]]]
+    markers: frozenset[str]
+
+
+def labelled(examples: DataFrame, areas: DataFrame) -> Labelled:
+    """The examples with at least one known subject, at most EXAMPLES of them in the order of their ids. The subjects are a small table."""
+    names = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").collect()]
     place = {s: k for k, s in enumerate(names)}
-    labelled = []
+    texts = []
     for r in examples.where("text is not null").orderBy("example_id").select("text", "subjects").limit(EXAMPLES).collect():
-        labels = sorted({place[s] for s in r["subjects"] or [] if s in place})
-        if labels and (found := terms(r["text"])):
-            labelled.append((language(found) or "en", dict(found), labels))
-    subjects = len(names)
-    keys = cognate_keys([(f, y) for _, f, y in labelled], subjects)
+        if labels := sorted({place[s] for s in r["subjects"] or [] if s in place}):
+            texts.append((r["text"], labels))
+    return Labelled(names, texts, passing_markers(texts, len(names)))
+
+
+def fit(feats: DataFrame, known: Labelled) -> tuple[Fitted, DataFrame]:
+    """Fit the models of all languages over stored features of all documents; the models and the encoded documents."""
+    spark = feats.sparkSession
+    subjects = len(known.names)
+    read = [(language(found) or "en", dict(found), labels) for text, labels in known.texts if (found := terms(text, known.markers))]
+    keys = cognate_keys([(f, y) for _, f, y in read], subjects)
     df = feats.where("lang is not null").select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
     df = store(df.where(F.col("n") >= LEAST_DOCS), "subject_vocabulary").df
+    sizes = dict(df.groupBy("lang").agg(F.count("*")).collect())
+    full = {x: sizes.get(x, 0) > TABLE for x in LANGUAGES}
     # a limit keeps the most frequent in the map stage; a window would bring a language's terms to one task
-    words = pd.concat([df.where(F.col("lang") == x).orderBy(F.desc("n"), "term").limit(VOCABULARY).toArrow().to_pandas() for x in LANGUAGES])
-    models, own = {}, {}
+    words = pd.concat([df.where(F.col("lang") == x).orderBy(F.desc("n"), "term").limit(TABLE).toArrow().to_pandas() for x in LANGUAGES])
+    models, own, indexes, docs_of = {}, {}, {}, {}
     for lang in LANGUAGES:
         part = words[words["lang"] == lang]
         freq = dict(zip(part["term"], part["n"], strict=True))
-        mine = [(f, y) for x, f, y in labelled if x == lang]
+        mine = [(f, y) for x, f, y in read if x == lang]
         for w in {w for f, _ in mine for w in f}:
             freq.setdefault(w, 1)
+        indexes[lang] = {w: k for k, w in enumerate(freq)}
+        if full[lang]:
+            beyond = Counter()
+            rest = df.where(F.col("lang") == lang).join(F.broadcast(spark.createDataFrame(part[["term"]])), "term", "left_anti")
+            row = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(SHARED)).cast("int")
+            beyond.update(dict(rest.groupBy(row.alias("row")).agg(F.sum("n")).collect()))  # at most SHARED rows
+            freq |= {f"\0{k}": max(beyond[k], 1) for k in range(SHARED)}
         models[lang] = seeded(freq, mine, keys, subjects)
         mask = np.zeros((len(mine), subjects + BACKGROUND))
         mask[:, subjects:] = 1
         for k, (_, y) in enumerate(mine):
             mask[k, y] = 1
         own[lang] = (csr([f for f, _ in mine], models[lang].index), mask)
-    docs_of = {lang: np.zeros(len(m.index)) for lang, m in models.items()}
-    for lang in LANGUAGES:
-        part = words[words["lang"] == lang]
-        at = [models[lang].index[w] for w in part["term"]]
-        docs_of[lang][at] = part["n"].to_numpy()
-    coded = store(encoded(feats, {lang: m.index for lang, m in models.items()}), "subject_ids").df
+        docs_of[lang] = np.asarray(list(freq.values()), dtype=float)
+    coded = store(encoded(feats, indexes, full), "subject_ids").df
     width = subjects + BACKGROUND + subjects
     schema = "lang int, term int, " + ", ".join(f"c{k} double" for k in range(width))
     for turn in range(ITERATIONS):
@@ -371,9 +453,11 @@ def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now = {lang: Model({}, t, t, t) for lang, t in shared.value.items()}
-            sums = {lang: np.zeros((len(t), width)) for lang, t in shared.value.items()}
+            sums: dict[str, np.ndarray] = {}
             for batch in batches:
                 for lang, _, table in tables(batch):
+                    if lang not in sums:
+                        sums[lang] = np.zeros((len(now[lang].topics), width))
                     sums[lang] += np.concatenate(statistics(now[lang], table, subjects), axis=1)
             for lang, total in sums.items():
                 at = np.flatnonzero(total.any(axis=1))
@@ -383,6 +467,7 @@ def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted
         sums = coded.where("sure").select("lang", "cols", "vals").mapInArrow(run, schema).groupBy("lang", "term").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
         got = sums.toArrow().to_pandas()
         shared.destroy()
+        moved = 0.0
         for lang, m in models.items():
             total = np.zeros((len(m.index), width))
             part = got[got["lang"] == LANGUAGES.index(lang)]
@@ -390,8 +475,12 @@ def fit(feats: DataFrame, examples: DataFrame, areas: DataFrame) -> tuple[Fitted
             table, mask = own[lang]
             if len(table[0]) > 1:
                 total += np.concatenate(statistics(m, table, subjects, mask), axis=1)
-            models[lang] = updated(m, total[:, : subjects + BACKGROUND], total[:, subjects + BACKGROUND :], docs_of[lang], subjects, 2 <= turn < ITERATIONS - 2)
-    return Fitted(names, models), coded
+            models[lang] = updated(m, total[:, : subjects + BACKGROUND], total[:, subjects + BACKGROUND :], docs_of[lang], subjects, turn >= 2)
+            if len(m.index):
+                moved = max(moved, float(np.abs(models[lang].topics - m.topics).sum(axis=0).mean()) / 2)
+        if turn >= 4 and moved < SETTLED:
+            break
+    return Fitted(known.names, models), coded
 
 
 def assigned(coded: DataFrame, fitted: Fitted) -> DataFrame:
@@ -414,7 +503,8 @@ def assigned(coded: DataFrame, fitted: Fitted) -> DataFrame:
 
 def subject_areas(docs: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
     """doc_id, subject, share."""
-    fitted, coded = fit(store(features(docs), "subject_terms").df, examples, areas)
+    known = labelled(examples, areas)
+    fitted, coded = fit(store(features(docs, known.markers), "subject_terms").df, known)
     return assigned(coded, fitted)
 
 
