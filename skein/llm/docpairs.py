@@ -24,6 +24,7 @@ from skein.llm.triviality import is_trivial
 from skein.session import spread
 from skein.sources import lexing
 
+_TAIL = {"python": re.compile(r"\s*(?:->\s*[^:\n]+)?"), "": re.compile(r"[^{;\n=]*")}
 _STRING = re.compile(r"(?i)^([rbuft]{0,2})('''|\"\"\"|'|\")")
 
 
@@ -100,7 +101,7 @@ def pairs(text: str, file: str | None, language: str | None) -> list[dict]:
         if doc is None:
             continue
         signature = re.sub(r"\s+", " ", src.text[src.starts[line] : fn.head_end]).strip()
-        tail = re.match(r"\s*(?:->\s*[^:\n]+)?" if src.kind == "python" else r"[^{;\n=]*", src.text[fn.head_end : fn.head_end + 300])[0].rstrip()
+        tail = _TAIL["python" if src.kind == "python" else ""].match(src.text, fn.head_end)[0].rstrip()
         out.append({"name": fn.name, "line_start": line + 1, "line_end": src.line(max(fn.end - 1, fn.at)) + 1, "signature": signature + tail, "body": src.text[src.starts[line] : fn.end], "doc": doc, "trivial": is_trivial(doc, fn.name, signature + tail)})
     return out
 

@@ -1,10 +1,9 @@
 """Whether a documentation comment tells a reader more than the name and the signature do.
 
 A comment is read as lines without its marks. Lines that are code, tool
-directives or separators say nothing. Of the rest, the words that remain after
-removing function words of four languages, the words of the name and the
-signature, and the words with which documentation is put off or stood in for
-are its information. Without any, the comment is trivial.
+directives or separators say nothing, nor do short sentences about documentation that is missing or to come. Of the rest,
+the words that remain after removing function words of four languages, the words of the name and the signature, and
+words that stand in for documentation are its information. Without any, the comment is trivial.
 """
 
 from __future__ import annotations
@@ -28,18 +27,28 @@ el la los las un una unos unas y o es son se de del al en por para con como que
 le la les un une des du de et ou est sont se à au aux en par pour avec comme que qui ne pas son ses fonction méthode renvoie retourne
 """.split()
 )
-#: Words of which put-off or stand-in documentation is made.
+#: Words that stand in for documentation, and words for documentation itself.
 PLACEHOLDERS = frozenset(
     """
-todo fixme xxx hack tbd wip nyi tba someone somebody whoever whomever documentation document documents documented undocumented docstring doc docs comment comments describe description described descriptions
-goes provided provide missing available needed add added fill filled write written writing down properly before after release please later soon once interface settled settles next touches touch
-see above below ditto idem same overload overloads lorem ipsum dolor sit amet placeholder text auto generated autogenerated generate stub read api deprecated obsolete legacy other inheritdoc inherited inherit summary remarks note
+todo fixme xxx hack tbd wip nyi tba someone documentation document documents documented undocumented docstring doc docs comment comments describe description described descriptions
+provide provided missing needed please later soon
+see above below ditto idem same overload overloads lorem ipsum dolor sit amet placeholder text auto generated autogenerated generate stub api deprecated obsolete legacy other inheritdoc inherited inherit summary remarks note
 n/a foo bar baz blah etc
-beschreibung folgt dokumentation dokumentieren später noch fehlt ergänzen siehe oben
-documentar documentación descripción pendiente falta después luego ver arriba
-documenter documentation description plus tard manquante compléter voir dessus ci
+beschreibung dokumentation dokumentieren dokumentiert später siehe oben
+documentar documentado documentación descripción ver arriba
+documenter documenté documentation description plus tard voir dessus ci
 """.split()
 )
+#: Words for documentation, and words that put something off or ask for it, in four languages. A sentence with both speaks of missing documentation.
+_ABOUT_DOCS = re.compile(r"(?i)\b(?:documentation|documented?|documenting|docs?|docstrings?|descriptions?|descri(?:be|bed)|comments?|(?:write|written|writing) (?:this|it|that|me|up|down|something)\b(?: up| down)?|explain(?:ed)?|dokumentation|dokumentier\w*|beschreib\w*|documentar|documentad\w+|documentaci\w+|descripci\w+|describir|documenter|documentée?|décrire)\b")
+_PUT_OFF = re.compile(
+    r"(?i)\b(?:todo|fixme|tbd|tba|wip|xxx|later|soon|missing|pending|please|someone|somebody|should|must|needs?|needed|goes|go|here|yet|not|no|without|to be|will be|add|fill|write|your?|me|coming|unfinished|incomplete"
+    r"|folgt|fehlt|noch|bitte|später|nicht|keine|pendiente|falta|después|luego|sin|por|manque|manquante|venir|tard|pas|sans|à)\b"
+)
+_NOTICE = re.compile(r"(?i)^\W*(?:wip|todo|fixme|xxx|tbd|draft)\b\W*(?:do not|don't|please)\b")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Most words of a sentence that says only that documentation is missing.
+SHORT = 16
 #: Marks with which tools are told something.
 DIRECTIVES = re.compile(
     r"(?i)^\W*(?:eslint-|tslint:|jshint|jslint|prettier-ignore|@ts-|istanbul |c8 |nolint|noqa|type:\s*ignore|pylint:|flake8|mypy:|pyright:|fmt:|yapf:|isort:|pragma|clippy::|rustfmt|rustc|noinspection|@?suppresswarnings|checkstyle|coverage:|go:\w+|\+build|#?region|#?endregion|vim?:|-\*-|sonar|nosec|bandit|shellcheck|biome-ignore|deno-lint)"
@@ -74,6 +83,13 @@ def _stem(word: str) -> str:
     return word
 
 
+def put_off(sentence: str) -> bool:
+    """Whether a sentence speaks of documentation that is missing or to come, and so of nothing else."""
+    if len(sentence.split()) > SHORT:
+        return False
+    return bool(_NOTICE.match(sentence) or (_ABOUT_DOCS.search(sentence) and _PUT_OFF.search(sentence)))
+
+
 def information(doc: str, name: str, signature: str) -> list[str]:
     """The words of a comment that neither name, signature nor convention account for."""
     known = set(words(name)) | set(words(signature))
@@ -84,6 +100,7 @@ def information(doc: str, name: str, signature: str) -> list[str]:
         if DIRECTIVES.match(line) or BANNERS.match(line) or _CODE.match(line):
             continue
         tagged = {g.lower() for m in _NAME_TAG.finditer(line) for g in m.groups() if g}
+        line = " ".join(x for x in _SENTENCE.split(line) if not put_off(x))
         for raw in re.findall(r"[^\W_]+(?:['’][^\W_]+)?", _TAG.sub(" ", line)):
             for w in words(raw) or (raw.lower(),):
                 if len(w) < 2 and not w.isdigit() or w in FILLERS or w in PLACEHOLDERS or w in known or w in tagged or _stem(w) in known:
