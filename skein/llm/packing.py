@@ -13,6 +13,7 @@ counted within hash buckets and lengths, so one frequent length is no hot group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +41,12 @@ class Limits:
     rule: str = "norm"  # or "dot"
 
 
+    @property
+    def longest(self) -> int:
+        """The longest item that fits an empty container."""
+        return min(self.tokens, math.isqrt(self.cost))
+
+
 @dataclass
 class _Bins:
     """Groups of containers in the same state."""
@@ -49,11 +56,6 @@ class _Bins:
     rest: list = field(default_factory=list)  # (tokens, documents, cost)
     content: list = field(default_factory=list)  # [(length, copies), ...]
 
-    def add(self, count: int, rest: tuple, content: list) -> None:
-        self.count.append(count)
-        self.rest.append(rest)
-        self.content.append(content)
-
     def copies(self, length: int, rest: tuple) -> int:
         """How many items of ``length`` a container with this residual still takes."""
         t, d, c = rest
@@ -63,51 +65,87 @@ class _Bins:
         return int(most)
 
 
+class _Open:
+    """Containers that still take documents, by residual tokens and then by residual documents and cost.
+
+    A bit for each residual of tokens tells where there are any, so a search goes from one to the next without looking at the others.
+    """
+
+    def __init__(self, limits: Limits):
+        self.limits, self.bits, self.at = limits, 0, {}
+
+    def add(self, group: int, rest: tuple) -> None:
+        t, d, c = rest
+        if d > 0:
+            self.at.setdefault(t, {}).setdefault((d, c), []).append(group)
+            self.bits |= 1 << t
+
+    def take(self, rest: tuple) -> int:
+        """A group in this state, which is taken out."""
+        t, d, c = rest
+        states = self.at[t]
+        group = states[d, c].pop()
+        if not states[d, c]:
+            del states[d, c]
+            if not states:
+                del self.at[t]
+                self.bits ^= 1 << t
+        return group
+
+    def best(self, length: int) -> tuple | None:
+        """The state that an item goes to: the least weighted norm of what remains, or the largest weighted dot product; None if it fits nowhere.
+
+        Residuals of tokens are tried from the best one on, until what tokens alone say is worse than the best score so far.
+        """
+        lim = self.limits
+        (wt, wd, wc), cost, dot = lim.weights, length * length, lim.rule == "dot"
+        best, found, bits = None, None, self.bits >> length << length
+        while bits:
+            t = bits.bit_length() - 1 if dot else (bits & -bits).bit_length() - 1
+            bits ^= 1 << t
+            if dot:
+                bound = -(wt * length * t / lim.tokens**2 + wd / lim.documents + wc * cost / lim.cost)
+            else:
+                bound = wt * ((t - length) / lim.tokens) ** 2
+            if best is not None and bound >= best:
+                break
+            for d, c in self.at[t]:
+                if c < cost:
+                    continue
+                if dot:
+                    score = -(wt * length * t / lim.tokens**2 + wd * d / lim.documents**2 + wc * cost * c / lim.cost**2)
+                else:
+                    score = wt * ((t - length) / lim.tokens) ** 2 + wd * ((d - 1) / lim.documents) ** 2 + wc * ((c - cost) / lim.cost) ** 2
+                if best is None or score < best:
+                    best, found = score, (t, d, c)
+        return found
+
+
 def plan(counts: dict[int, int], limits: Limits) -> _Bins:
     """Vector best fit of ``counts`` (length to number of items), longest first."""
-    bins = _Bins(limits)
-    cap = np.asarray([limits.tokens, limits.documents, limits.cost], dtype=float)
-    weights = np.asarray(limits.weights)
-    rest = np.zeros((0, 3))
-    alive = np.zeros(0, dtype=np.int64)
-
-    def push(count, state, content):
-        nonlocal rest, alive
-        bins.add(count, state, content)
-        if len(bins.count) > len(rest):
-            grown = max(256, 2 * len(rest))
-            rest = np.concatenate([rest, np.zeros((grown - len(rest), 3))])
-            alive = np.concatenate([alive, np.zeros(grown - len(alive), dtype=np.int64)])
-        rest[len(bins.count) - 1], alive[len(bins.count) - 1] = state, count
-
+    bins, open_ = _Bins(limits), _Open(limits)
     for length in sorted(counts, reverse=True):
         n = int(counts[length])
-        need = np.asarray([length, 1, length * length], dtype=float)
-        if length > limits.tokens or length * length > limits.cost:
+        if length > limits.longest:
             raise ValueError(f"an item of {length} tokens fits no container")
         while n > 0:
-            used = len(bins.count)
-            fits = np.flatnonzero((alive[:used] > 0) & (rest[:used] >= need).all(axis=1))
-            if len(fits):
-                left = (rest[fits] - need) / cap
-                if limits.rule == "dot":
-                    score = -(weights * (need / cap) * (rest[fits] / cap)).sum(axis=1)
-                else:
-                    score = (weights * left * left).sum(axis=1)
-                g = int(fits[np.argmin(score)])
-                state, content, available = bins.rest[g], bins.content[g], int(alive[g])
-            else:
+            state = open_.best(length)
+            if state is None:
                 g, state, content, available = -1, (limits.tokens, limits.documents, limits.cost), [], n
-            k = bins.copies(length, state)
-            if n >= k:
-                take, each = min(available, n // k), k
             else:
-                take, each = 1, n
+                g = open_.take(state)
+                content, available = bins.content[g], bins.count[g]
+            k = bins.copies(length, state)
+            take, each = (min(available, n // k), k) if n >= k else (1, n)
             if g >= 0:
-                alive[g] -= take
                 bins.count[g] -= take
-            left_over = (state[0] - each * length, state[1] - each, state[2] - each * length * length)
-            push(take, left_over, [*content, (length, each)])
+                if bins.count[g]:
+                    open_.add(g, state)
+            after = (state[0] - each * length, state[1] - each, state[2] - each * length * length)
+            bins.count.append(take)
+            bins.rest.append(after)
+            bins.content.append([*content, (length, each)])
+            open_.add(len(bins.count) - 1, after)
             n -= take * each
     return bins
 
@@ -139,12 +177,13 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", limits: Limits | None = None)
     """id, part, length, container, start: where every item of ``sizes`` (id, tokens) lies.
 
     Items of no tokens (empty and null texts) are placed like others and take a
-    document's place only. Null ids and repeated rows are items of their own;
+    document's place only. Items longer than a container takes under all its limits are split into parts of that length
+    and a rest. Null ids and repeated rows are items of their own;
     a null size counts as 0. No rows give no containers.
     """
     limits = limits or Limits()
     sizes = sizes.select(id_col, F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    stored = store(items(sizes, id_col, limits.tokens), "items")
+    stored = store(items(sizes, id_col, limits.longest), "items")
     buckets = max(16, stored.rows // BUCKET_ROWS)
     cells = stored.df.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "part"), F.lit(buckets)).cast("int"))
     counts = store(cells.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
@@ -183,3 +222,17 @@ def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """containers, tokens, unused: how well the containers are filled."""
     per = packed.groupBy("container").agg(F.sum("length").alias("tokens"))
     return per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.round(1 - F.sum("tokens") / (F.count("*") * capacity), 6).alias("unused"))
+
+
+def used(packed: DataFrame, limits: Limits) -> DataFrame:
+    """containers, least, and the used share of each capacity, with the number of containers in which documents or cost leave no room for a token.
+
+    ``least`` is the number that no packing can go below: the largest of the sums of tokens, documents and cost over their capacities.
+    """
+    per = packed.groupBy("container").agg(F.sum("length").alias("t"), F.count("*").alias("d"), F.sum(F.col("length").cast("bigint") * F.col("length")).alias("c"))
+    n = F.count("*")
+    least = F.greatest(*[F.ceil(F.sum(x) / F.lit(cap)) for x, cap in (("t", limits.tokens), ("d", limits.documents), ("c", limits.cost))])
+    shares = [F.round(F.sum(x) / (n * cap), 4).alias(name) for x, cap, name in (("t", limits.tokens, "tokens"), ("d", limits.documents, "documents"), ("c", limits.cost, "cost"))]
+    room = F.col("t") < limits.tokens
+    bound = [F.count(F.when(room & (F.col("d") == limits.documents), 1)).alias("full_documents"), F.count(F.when(room & (F.col("c") + 2 * limits.longest > limits.cost), 1)).alias("full_cost")]
+    return per.agg(n.alias("containers"), least.alias("least"), *shares, *bound)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import docpairs, origin, packing, pieces, subjects, tokens
-from skein.session import table
+from skein.session import store, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,42 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_containers(spark, sf_dir))
 
 
+#: Capacities of which each takes part: containers of 2,048 tokens, 24 documents and an attention cost of a third of a full one.
+BOUND = {"tokens": 2048, "documents": 24, "cost": 1_400_000, "weights": (1.0, 0.5, 0.5)}
+
+
+def p8_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule, containers, least, used shares: both rules where tokens, documents and cost all bind."""
+    out = None
+    sizes = store(tokens.lengths(table(spark, sf_dir, "documents")), "sizes").df
+    for rule in ("norm", "dot"):
+        limits = packing.Limits(rule=rule, **BOUND)
+        part = packing.used(packing.pack(sizes, "doc_id", limits), limits).select(F.lit(rule).alias("rule"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, whole, fits: whether a document's parts make it up in order, and its containers are within every limit of ``BOUND``."""
+    sizes = store(tokens.lengths(table(spark, sf_dir, "documents")), "sizes").df
+    limits = packing.Limits(**BOUND)
+    packed = store(packing.pack(sizes, "doc_id", limits), "packed").df
+    per = packed.groupBy("container").agg(F.sum("length").alias("t"), F.count("*").alias("d"), F.sum(F.col("length").cast("bigint") * F.col("length")).alias("c"))
+    fits = per.select("container", ((F.col("t") <= limits.tokens) & (F.col("d") <= limits.documents) & (F.col("c") <= limits.cost)).alias("fits"))
+    parts = packed.join(fits, "container").groupBy("doc_id").agg(F.sum("length").alias("sum"), F.max("part").alias("last"), F.count("*").alias("parts"), F.bool_and("fits").alias("fits"))
+    return sizes.join(parts, "doc_id", "left").select("doc_id", F.coalesce((F.col("sum") == F.col("tokens")) & (F.col("last") + 1 == F.col("parts")), F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"))
+
+
+def p4_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, digest, least_shared, most_shared, fits: each oversized text's pieces put together again, with what consecutive pieces share and whether all are within the limit."""
+    cut = pieces.split_oversized(table(spark, sf_dir, "nodes").groupBy("id").agg(F.max("body").alias("body")))
+    own = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.substr("text", F.lit(pieces.OVERLAP + 1)))
+    w = Window.partitionBy("id").orderBy("piece")
+    parts = cut.select("id", "piece", own.alias("own"), (F.lag("end").over(w) - F.col("start")).alias("shared"), F.length("text").alias("size"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda p: p["own"]), "")
+    return parts.groupBy("id").agg(F.md5(whole).alias("digest"), F.min("shared").alias("least_shared"), F.max("shared").alias("most_shared"), (F.max("size") <= pieces.LIMIT).alias("fits"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, subject: what each document is about."""
     return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "subject_examples", "subject_areas")))
@@ -84,9 +120,12 @@ QUERIES: dict[str, tuple] = {
     "p3_hand_written": (p3_hand_written, None),
     "p4_found": (p4_found, "select distinct id from nodes where length(body) > 6000"),
     "p4_pieces": (p4_pieces, None),
+    "p4_checked": (p4_checked, "select id, md5(max(body)) digest, 200::bigint least_shared, 200::bigint most_shared, true fits from nodes group by id having length(max(body)) > 6000"),
     "p7_ids": (p7_ids, None),
     "p8_containers": (p8_containers, None),
     "p8_fill": (p8_fill, None),
+    "p8_vector": (p8_vector, None),
+    "p8_checked": (p8_checked, "select doc_id, true whole, true fits from documents"),
     "p9_found": (p9_found, None),
     "p9_mix": (p9_mix, None),
     "p7_round_trip": (p7_round_trip, "select doc_id, true as same from documents"),

@@ -160,19 +160,26 @@ def rank_bytes(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> by
 _encoders: dict[str, Encoder] = {}
 
 
+def _shared(df: DataFrame, tokenizers: str, vocabulary: str):
+    """The rank file (under 1 MB) and the classes of all code points (1.1 MB) for the Python workers."""
+    return df.sparkSession.sparkContext.broadcast((rank_bytes(tokenizers, vocabulary), classes()))
+
+
 def worker_encoder(shared, key: str) -> Encoder:
     """The encoder of this Python worker, made once from the broadcast rank file."""
+    global _classes
     if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
+        ranks, _classes = shared.value
+        _encoders[key] = Encoder(ranks)
     return _encoders[key]
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """id and ids of each row, and with ``offsets`` slice_start (characters) and slice_ids (ids of each slice).
 
-    One row out for each row in, repeated or not. The rank file (under 1 MB) is broadcast.
+    One row out for each row in, repeated or not. The rank file (under 1 MB) and the table of classes are broadcast.
     """
-    shared = df.sparkSession.sparkContext.broadcast(rank_bytes(tokenizers, vocabulary))
+    shared = _shared(df, tokenizers, vocabulary)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, ids array<int>" + ", slice_start array<bigint>, slice_ids array<int>" * offsets
 
@@ -192,7 +199,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", offset
 
 def lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """id and tokens: the number of ids of each row."""
-    shared = df.sparkSession.sparkContext.broadcast(rank_bytes(tokenizers, vocabulary))
+    shared = _shared(df, tokenizers, vocabulary)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +212,7 @@ def lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """id and text of encoded rows; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(rank_bytes(tokenizers, vocabulary))
+    shared = _shared(encoded, tokenizers, vocabulary)
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -161,3 +161,52 @@ def test_packing_of_hot_lengths_and_nothing(spark):
     valid(out, sizes, packing.Limits())
     assert out["container"].nunique() == 751
     assert len(packed(spark, [])) == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_takes_the_best_of_all_containers(rule):
+    """The search that stops early finds the same scores as one over every open container."""
+    r = random.Random(9)
+    limits = packing.Limits(tokens=200, documents=6, cost=15_000, rule=rule, weights=(1.0, 0.5, 0.5))
+    need = lambda s: (s, 1, s * s)
+    caps = (limits.tokens, limits.documents, limits.cost)
+
+    def score(rest, s):
+        if rule == "dot":
+            return -sum(w * (a / c) * (b / c) for w, a, b, c in zip(limits.weights, need(s), rest, caps, strict=True))
+        return sum(w * ((b - a) / c) ** 2 for w, a, b, c in zip(limits.weights, need(s), rest, caps, strict=True))
+
+    for _ in range(200):
+        open_ = packing._Open(limits)
+        states = [(r.randrange(201), r.randrange(1, 7), r.randrange(15_001)) for _ in range(r.randrange(12))]
+        for k, state in enumerate(states):
+            open_.add(k, state)
+        s = r.randrange(0, 123)
+        fits = [x for x in states if all(b >= a for a, b in zip(need(s), x, strict=True))]
+        got = open_.best(s)
+        assert (got is None) == (not fits) and (got is None or score(got, s) == pytest.approx(min(score(x, s) for x in fits)))
+
+
+def test_plan_of_long_containers_is_quick():
+    """300,000 items of 130,000 lengths in containers of 131,072 tokens."""
+    import time
+
+    r = random.Random(2)
+    counts = {}
+    for _ in range(300_000):
+        size = min(int(r.lognormvariate(8.8, 1.2)) + 1, 131_072)
+        counts[size] = counts.get(size, 0) + 1
+    began = time.time()
+    bins = packing.plan(counts, packing.Limits(tokens=131_072))
+    assert time.time() - began < 20 and sum(bins.count) <= 1.001 * -(-sum(k * n for k, n in counts.items()) // 131_072) + 1
+
+
+@given(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_slices_of_any_code_points_agree_with_the_pattern(text):
+    """Random strings over all assigned code points (others may be assigned in the engine's newer tables), against the published pattern."""
+    import regex
+
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+".replace("\\\\", "\\"))
+    at = tokens.starts(text).tolist()
+    assert [text[a:b] for a, b in zip(at, at[1:], strict=False)] == pattern.findall(text)
