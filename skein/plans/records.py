@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.incremental import WorkLedger, last_succeeded, process_pending
 from skein.operators.references import orphan_counts, orphan_references
-from skein.operators.snapshots import snapshot_changes
+from skein.operators.snapshots import SnapshotIndex, changed_columns, snapshot_changes
 from skein.session import scratch_path, table
 
 
@@ -31,7 +31,23 @@ def p2_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, id, scan_version, change: what changed between consecutive snapshots of symbols and edges."""
-    return snapshot_changes({t: table(spark, sf_dir, t) for t in ("symbols", "edges")})
+    return snapshot_changes({t: table(spark, sf_dir, t) for t in ("symbols", "edges")}).select("tbl", "id", "scan_version", "change")
+
+
+def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, id, scan_version, change of three runs on one index: of early snapshots, of all, and of nothing new."""
+    index = SnapshotIndex(spark, scratch_path(spark, "snapshots"))
+    tables = {t: table(spark, sf_dir, t) for t in ("symbols", "edges")}
+    middle = table(spark, sf_dir, "edges").agg(F.expr("percentile_disc(0.5) within group (order by scan_version)")).first()[0]
+    runs = [index.advance({t: d.where(F.col("scan_version") <= middle) for t, d in tables.items()}), index.advance(tables), index.advance(tables)]
+    index.close()
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("tbl", "id", "scan_version", "change")
+
+
+def p5_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, column, records: in which columns changed records differ, by their old and new values."""
+    tables = {t: table(spark, sf_dir, t) for t in ("symbols", "edges")}
+    return changed_columns(snapshot_changes(tables), tables)
 
 
 def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +97,14 @@ def _changes(tbl: str, columns: list[str]) -> str:
 
 
 CHANGES = "with " + ",".join([_changes("symbols", SYMBOL_COLUMNS), _changes("edges", EDGE_COLUMNS)]) + ", found as (select * from symbols_c union all select * from edges_c)"
+
+
+def _columns(tbl: str, columns: list[str]) -> str:
+    both = f"{tbl}_v b join {tbl}_s s on s.root_id = b.root_id and s.scan_version = b.scan_version join {tbl}_v a on a.root_id = b.root_id and a.id = b.id and a.scan_version = s.prv"
+    return " union all ".join(f"select '{tbl}' tbl, '{c}' \"column\", count(*) records from {both} where a.{c} is distinct from b.{c} having count(*) > 0" for c in columns)
+
+
+COLUMNS = CHANGES + " " + _columns("symbols", SYMBOL_COLUMNS) + " union all " + _columns("edges", EDGE_COLUMNS)
 ORPHANS = f"""with {VALID_EDGES},
 ends as (select id edge_id, scan_version, 'source' endpoint, source_id ref from valid_edges union all select id, scan_version, 'target', target_id from valid_edges),
 found as (
@@ -101,6 +125,8 @@ QUERIES = {
     "p2_runs": (p2_runs, f"select 1 run, count(*) edges from ({OPEN_EDGES}) union all select 2, 0"),
     "p2_positions": (p2_positions, f"with {DONE} select * from done"),
     "p5_found": (p5_found, CHANGES + " select * from found"),
+    "p5_runs": (p5_runs, CHANGES + " select * from found"),
+    "p5_columns": (p5_columns, COLUMNS),
     "p5_summary": (p5_summary, CHANGES + " select tbl, change, count(*) n from found group by 1, 2"),
     "p6_found": (p6_found, ORPHANS + " select * from found"),
     "p6_counts": (p6_counts, ORPHANS + " select endpoint, scan_version, count(*) orphans from found group by 1, 2"),

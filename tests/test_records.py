@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein import session
 from skein.operators.incremental import StaleToken, WorkLedger, changed_since, edge_work, last_succeeded, process_pending
 from skein.operators.references import orphan_counts, orphan_references, runs_of
-from skein.operators.snapshots import SnapshotIndex, fetch_old, snapshot_changes
+from skein.operators.snapshots import SnapshotIndex, changed_columns, fetch_old, hashed_rows, snapshot_changes
 from skein.session import bounded_join, store
 
 EDGE = "id string, source_id string, source_type string, target_id string, target_type string, edge_type string, edge_source string, edge_confidence string, root_id string, updated_at long, scan_version long"
@@ -230,27 +230,63 @@ def test_snapshot_changes_edge_cases(spark):
     assert snapshot_changes({"t": spark.createDataFrame(one, schema)}).collect() == []
     # a value that moves to another column is a change; null ids and versions are no records
     two = [*one, ("r", "x", 5, 9, "v", None, "", 0), ("r", None, 5, 9, "v", None, "", 0), (None, "z", 5, 9, "v", None, "", 0), ("r", "q", None, 9, "v", None, "", 0)]
-    assert [tuple(r) for r in snapshot_changes({"t": spark.createDataFrame(two, schema)}).collect()] == [("t", "x", 5, "changed")]
+    assert [tuple(r) for r in snapshot_changes({"t": spark.createDataFrame(two, schema)}).collect()] == [("t", "r", "x", 1, 5, "changed")]
     long = "x" * 200_000
     big = [("r", "x", 1, 1, long + "a", "", "", 0), ("r", "x", 2, 1, long + "b", "", "", 0)]
     assert [r.change for r in snapshot_changes({"t": spark.createDataFrame(big, schema)}).collect()] == ["changed"]
 
 
-def test_index_swap_and_probe_without_shuffle(spark):
-    index = SnapshotIndex(spark)
-    rows = spark.createDataFrame([("t", "r", f"k{i}", i, i) for i in range(40)], "tbl string, root_id string, id string, h1 long, h2 long")
-    index.swap(rows)
-    index.swap(rows.where("h1 < 30"))
-    slots = rows.where("h1 >= 20").groupBy("tbl", "root_id", "id").agg(F.max("h1").alias("s0"))
-    probed = index.probe(slots)
-    assert probed.where("p is null").count() == 10 and probed.where("s0 is null").count() == 20 and probed.count() == 40
-    index.drop()
-
-
-def test_fetch_old(spark):
-    rows = spark.createDataFrame([("a", 1, 5, "old"), ("a", 1, 9, "newer"), ("b", 1, 1, "b")], "id string, scan_version long, updated_at long, body string")
-    ask = spark.createDataFrame([("a", 1, "changed"), ("b", 1, "removed")], "id string, old_version long, change string")
-    assert [r.body for r in fetch_old(ask, rows).collect()] == ["newer"]
+@pytest.mark.parametrize("wave", [1, 12])
+def test_index_between_runs_gives_what_one_run_gives(spark, tmp_path, wave):
+    """Snapshots delivered in several runs, some roots in each; a run again gives nothing; the index is joined without being shuffled."""
+    r = random.Random(5 + wave)
+    rows = [(root, f"{root}{i}", v, 100 + v, r.choice("xyz")) for root in "abc" for v in range(6) for i in range(10) if r.random() < 0.7]
+    schema = "root_id string, id string, scan_version long, updated_at long, content string"
+    df = spark.createDataFrame(rows, schema)
+    path, got = f"file://{tmp_path}/index", set()
+    for part in ("scan_version < 2", "scan_version < 4 and root_id <> 'c'", "scan_version < 4 and root_id <> 'c'", "true"):
+        index = SnapshotIndex(spark, path)
+        found = index.advance({"t": df.where(part)}, wave)
+        index.close()
+        now = [(x.id, x.scan_version, x.change) for x in found.collect()]
+        assert len(now) == len(set(now)) and not got & set(now)
+        got |= set(now)
+    assert got == brute_changes(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("snapshot_index")]
+    index = SnapshotIndex(spark, path)
+    assert index.advance({"t": df}).isEmpty()
+    last = {(root, i) for root, i, v, _, _ in rows if v == 5}
+    assert {(x.root_id, x.id) for x in index.read().collect()} == last
+    old, slots = index.read(), hashed_rows(df, "t", True).select("tbl", "root_id", "id").distinct()
+    plan = old.join(slots.hint("merge"), ["tbl", "root_id", "id"], "full")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    index.close()
+
+
+def test_index_survives_a_failed_run(spark, tmp_path, monkeypatch):
+    rows = [("r", "a", 1, 1, "x"), ("r", "a", 2, 1, "y"), ("r", "b", 2, 1, "x")]
+    df = spark.createDataFrame(rows, "root_id string, id string, scan_version long, updated_at long, content string")
+    index = SnapshotIndex(spark, f"file://{tmp_path}/index")
+    index.advance({"t": df.where("scan_version = 1")})
+    with monkeypatch.context() as m:
+        m.setattr(index.folder, "create", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.advance({"t": df})
+    assert {(x.id, x.old_version, x.change) for x in SnapshotIndex(spark, index.path).advance({"t": df}).collect()} == {("a", 1, "changed"), ("b", 1, "added")}
+    with pytest.raises(RuntimeError):  # a run that started before that one ended
+        late = SnapshotIndex(spark, index.path)
+        late._state = lambda: (0, index.folder.read("runs/000000000000"))
+        late.advance({"t": df})
+    index.close()
+
+
+def test_old_values_of_changed_records(spark):
+    rows = spark.createDataFrame([("r", "a", 1, 5, "old", None), ("r", "a", 1, 9, "newer", "k"), ("r", "a", 2, 9, "newest", "k"), ("r", "b", 1, 1, "b", None), ("r", "b", 2, 1, "b", "")], "root_id string, id string, scan_version long, updated_at long, body string, extra string")
+    changes = snapshot_changes({"t": rows})
+    mine = store(changes.where("change = 'changed'"), "changed")
+    assert {(r.id, r.body) for r in fetch_old(mine, rows).collect()} == {("a", "newer"), ("b", "b")}
+    assert {(r.id, r.body, r.extra) for r in fetch_old(mine, rows, "scan_version").collect()} == {("a", "newest", "k"), ("b", "b", "")}
+    assert {(r["column"], r.records) for r in changed_columns(changes, {"t": rows}).collect()} == {("body", 1), ("extra", 1)}
 
 
 def test_runs(spark):
