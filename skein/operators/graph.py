@@ -115,7 +115,7 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int | None, direction:
     seen, hop = frontier.df.withColumn("hop", F.lit(0)), 0
     while frontier.rows and (max_hops is None or hop < max_hops):
         hop += 1
-        at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size)
+        at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size, frontier.weight)
         stepped = bounded_join(walk, at, ["at"], spread=["to"])
         first = F.col("kind") if hop == 1 else F.col("first")
         new = stepped.select("source", F.col("to").alias("id"), first.alias("first")).groupBy("source", "id").agg(F.min("first").alias("first"))
@@ -147,7 +147,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] |
     frontier = store(spark.createDataFrame([(source,)], "id string"), "frontier")
     seen, layers = frontier.df, []
     while True:
-        at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size)
+        at = Stored(frontier.df.withColumnRenamed("id", "at"), frontier.path, frontier.rows, frontier.size, frontier.weight)
         new = bounded_join(walk, at, ["at"], spread=["to"]).groupBy(F.col("to").alias("id")).agg(F.min("at").alias("parent"))
         layer = store(new.join(seen, "id", "left_anti"), "layer")
         if not layer.rows:
@@ -155,7 +155,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, kinds: list[str] |
         layers.append(layer.df)
         if layer.df.where(F.col("id") == target).limit(1).collect():
             break
-        frontier = Stored(layer.df.select("id"), layer.path, layer.rows, layer.size)
+        frontier = Stored(layer.df.select("id"), layer.path, layer.rows, layer.size, layer.weight)
         seen = seen.unionByName(frontier.df)
         if len(layers) % REWRITE == 0:
             seen = store(seen, "seen").df

@@ -13,19 +13,12 @@ from pyspark.sql import functions as F
 
 from skein.session import bounded_join, instant_ms, store
 
-RUNS = "array<struct<start:bigint,end:bigint>>"
-
 
 def runs_of(versions):
-    """Column: a sorted array of distinct integers as runs of consecutive ones."""
-
-    def step(runs, v):
-        last = F.get(runs, F.size(runs) - 1)
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), v.alias("end"))))
-        apart = F.concat(runs, F.array(F.struct(v.alias("start"), v.alias("end"))))
-        return F.when(last["end"] == v - 1, longer).otherwise(apart)
-
-    return F.aggregate(versions, F.array().cast(RUNS), step)
+    """Column: a sorted array of distinct integers as runs (start, end) of consecutive ones, by comparing neighbours."""
+    starts = F.filter(versions, lambda v, i: (i == 0) | (F.get(versions, i - 1) != v - 1))
+    ends = F.filter(versions, lambda v, i: F.coalesce(F.get(versions, i + 1) != v + 1, F.lit(True)))
+    return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
 
 def parent_runs(symbols: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def fetch_old(changes: Stored, rows: DataFrame, version: str = "old_version") ->
 
     With version="scan_version" the rows they have now. Only rows of these keys are moved.
     """
-    keys = Stored(changes.df.select("root_id", "id", F.col(version).alias("scan_version")), changes.path, changes.rows, changes.size)
+    keys = Stored(changes.df.select("root_id", "id", F.col(version).alias("scan_version")), changes.path, changes.rows, changes.size, changes.weight)
     content = [c for c in rows.columns if c not in ("updated_at", "scan_version")]
     mine = bounded_join(rows, keys, ["root_id", "id", "scan_version"], "left_semi", spread=["updated_at"])
     order = F.struct(F.coalesce(instant_ms("updated_at"), F.lit(-(2**62))), *content_hash(content))

@@ -18,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join may be broadcast up to this many rows and bytes on disk.
+#: A side of a join may be broadcast up to this many rows, bytes on disk, and bytes of its values in memory.
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_WEIGHT = 96 * 1024 * 1024
 #: Copies of the small side where it is too large to broadcast: a hot key's rows go to as many tasks.
 SALTS = 8
 
@@ -165,14 +166,29 @@ class Stored:
     path: str
     rows: int
     size: int
+    weight: int = 0
 
     @property
     def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
+        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES and self.weight <= BROADCAST_WEIGHT
+
+
+def _width(df: DataFrame):
+    """The bytes of a row's values: strings by their length, arrays and maps by that of their text, others 8 each, and 16 for the row."""
+    out = F.lit(16)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out = out + 8 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            out = out + 8 + F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            out = out + 8
+    return out
 
 
 def store(df: DataFrame, name: str) -> Stored:
-    """Write ``df`` to the scratch folder and read it back, with its rows and bytes."""
+    """Write ``df`` to the scratch folder and read it back, with its rows and bytes (on disk, and if these are few in memory)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
@@ -180,7 +196,11 @@ def store(df: DataFrame, name: str) -> Stored:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return Stored(back, path, back.count(), int(fs.getContentSummary(at).getLength()))
+    size = int(fs.getContentSummary(at).getLength())
+    if size > BROADCAST_BYTES:
+        return Stored(back, path, back.count(), size)
+    rows, weight = back.agg(F.count("*"), F.coalesce(F.sum(_width(back)), F.lit(0))).first()
+    return Stored(back, path, rows, size, weight)
 
 
 def bounded_join(big: DataFrame, small: Stored, on: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
