@@ -1,19 +1,23 @@
 """The index build: files to a committed version of the store, stage by stage.
 
-scan, decode, extract, import resolution, link passes in their fixed order,
-ranking, communities, persist. Each stage is a DataFrame; what several later
+scan, decode, extract, merges, import resolution, link passes in their fixed order,
+ranking, communities, persist; ``embed`` then brings the vectors up to date. Each stage is a DataFrame; what several later
 stages read is written to the scratch folder.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import passes as L
 from skein.operators import ranking as R
+from skein.operators import search as S_
 from skein.operators.graph import Graph
 from skein.session import cut
+from skein.sources import history as H
 from skein.sources import extract as X
 from skein.sources import files as S
 from skein.sources.history import manifest_packages
@@ -89,19 +93,73 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.drop("importance").join(importance, "id", "left").join(placed, "id", "left")
 
 
-def build(spark: SparkSession, roots: dict[str, str], store: Store, configs: list[dict] | None = None, excludes: list[str] | None = None) -> int:
-    """3.1: index the roots (slug to folder) from scratch; the committed version."""
+def merge_nodes(spark: SparkSession, repos: dict[str, str]) -> DataFrame:
+    """The merges of each root's git repository as nodes, with their files."""
+    out = None
+    for root, folder in repos.items():
+        part = H.merges(H.commits(spark, folder)).withColumn("root", F.lit(root))
+        out = part if out is None else out.unionByName(part)
+    pairs = [("branch", F.coalesce("branch", F.lit(""))), ("outcomes", F.array_join("outcomes", ",")), ("timestamp", F.col("timestamp").cast("string"))]
+    meta = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]))
+    none = F.lit(None).cast("int")
+    return out.select(
+        F.concat_ws(":", "root", F.lit("git"), "hash", F.lit("pr_merge")).alias("id"), "root", F.lit("git").alias("file"), F.col("title").alias("name"), F.lit("pr_merge").alias("kind"), F.lit(None).cast("string").alias("language"),
+        none.alias("line_start"), none.alias("line_end"), F.col("title").alias("signature"), F.lit("").alias("body"), meta.alias("metadata"), "files",
+    )
+
+
+def modified(merges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """P16 by root: a merge modified the symbols of its files."""
+    files = merges.select("id", "root", F.explode("files").alias("file")).distinct()
+    touched = files.join(nodes.where("kind not in ('import', 'module', 'pr_merge')").select("root", "file", F.col("id").alias("symbol")), ["root", "file"])
+    return L.edges(touched, "id", "symbol", "modified")
+
+
+def framework_shares(nodes: DataFrame) -> DataFrame:
+    """Subsystems use the frameworks that most of their members' files use."""
+    node = lambda folder, name, kind: F.concat_ws(":", "root", F.lit(folder), name, F.lit(kind))
+    members = nodes.where("subsystem is not null").select("root", "file", node("subsystems", "subsystem", "subsystem").alias("subsystem"))
+    shares = L.subsystem_frameworks(members, L.frameworks(nodes)).withColumn("root", F.split_part("subsystem", F.lit(":"), F.lit(1)))
+    return L.edges(shares.withColumn("target", node("frameworks", "framework", "framework")), "subsystem", "target", "uses_framework")
+
+
+def embed(store: Store, size: int = 64) -> dict[str, int]:
+    """Bring the store's vectors up to its symbols: how many were embedded, deleted and kept.
+
+    Rows are named by a hash of their text; only those whose hash is not held are embedded. The new table is committed in one step.
+    """
+    symbols = store.load("symbols").select("id", "kind", "name", "language", "body", "doc_comment")
+    rows = cut(S_.index_rows(symbols).withColumn("text_hash", F.sha2("text", 256)), "index_rows")
+    done = store.folder.names("embedded")
+    old = store.spark.read.parquet(store.folder.read(f"embedded/{done[-1]}")["data"]) if done else store.spark.createDataFrame([], "id string, embedding array<float>, kind string, title string, text_hash string")
+    new, stale, kept = S_.upsert_embeddings(old, rows)
+    made = S_.hashed_vectors(new, "id", "text", size).join(new.select("id", "kind", "title", "text_hash"), "id")
+    at = f"{store.path}/embeddings/{uuid.uuid4().hex}"
+    kept.select("id", "embedding", "kind", "title", "text_hash").unionByName(made.select("id", "embedding", "kind", "title", "text_hash")).write.parquet(at)
+    counts = {"embedded": new.count(), "deleted": stale.count(), "kept": kept.count()}
+    if not store.folder.create(f"embedded/{int(done[-1]) + 1 if done else 0:012d}", {"data": at}):
+        raise RuntimeError("another writer has embedded meanwhile")
+    return counts
+
+
+def build(spark: SparkSession, roots: dict[str, str], store: Store, configs: list[dict] | None = None, excludes: list[str] | None = None, repos: dict[str, str] | None = None) -> int:
+    """3.1: index the roots (slug to folder) from scratch, with the merges of their git repositories (``repos``); the committed version."""
     files = S.decoded(S.scan(spark, roots, excludes)).where("not binary")
     files = cut(files.select("root", "path", "text", "modified", "size", F.sha2("content", 256).alias("sha256")), "files")
     sources = files.select("root", F.col("path").alias("file"), F.lit(None).cast("string").alias("language"), F.col("text").alias("body"))
     rows = cut(X.extract(sources), "rows")
     nodes = X.nodes_of(rows).unionByName(minimal_endpoint_nodes(files))
+    merges = cut(merge_nodes(spark, repos), "merges") if repos else None
+    if merges is not None:
+        nodes = nodes.unionByName(merges.drop("files"), allowMissingColumns=True)
     nodes = cut(typed(nodes), "nodes")
     found = cut(resolved_imports(X.edges_of(rows).withColumn("edge_confidence", F.lit("detected")), nodes), "edges")
     nodes, linked = link(nodes, files, configs)
+    if merges is not None:
+        linked = linked.unionByName(modified(merges, nodes))
     edges = cut(found.unionByName(linked).groupBy("source_id", "target_id", "edge_type").agg(F.min("edge_confidence").alias("edge_confidence")), "edges")
     nodes = cut(ranked(nodes, edges), "ranked")
-    virtual = L.subsystem_nodes(nodes.where("subsystem is not null")).select(*EDGES)
+    virtual = L.subsystem_nodes(nodes.where("subsystem is not null")).select(*EDGES).unionByName(framework_shares(nodes).select(*EDGES))
     edges = edges.unionByName(virtual).withColumn("id", F.concat("source_id", F.lit("->"), "edge_type", F.lit("->"), "target_id")).withColumn("root_id", F.split_part("source_id", F.lit(":"), F.lit(1)))
     symbols = nodes.withColumnsRenamed({"root": "root_id", "file": "file_path"})
     return store.persist(symbols, edges)

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.__main__ import main
 from skein.operators import graph as G
@@ -78,3 +79,60 @@ def test_command_line(spark, built):
     assert "seal_tray" in main(["--store", store.path, "search", "seal", "--limit", "3"], spark)
     assert "read_tray" in main(["--store", store.path, "graph", "seal_tray", "--mode", "impact"], spark)
     assert "## hotspots" in main(["--store", store.path, "repo-map"], spark) and root in main(["--store", store.path, "list-roots"], spark)
+
+
+def test_merges_frameworks_and_vectors(spark, tmp_path):
+    """A repository with a merge: its node, the symbols it modified, what the subsystem uses, and vectors that follow the symbols."""
+    import subprocess
+
+    root = tmp_path / "tray-repo"
+    for name in ("app/main.py", "app/trays.py"):
+        os.makedirs(root / os.path.dirname(name), exist_ok=True)
+        (root / name).write_text(FILES[name])
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-b", "main")
+    git("add", "app/main.py")
+    git("commit", "-m", "first")
+    git("checkout", "-b", "trays")
+    git("add", "app/trays.py")
+    git("commit", "-m", "trays")
+    git("checkout", "main")
+    git("merge", "--no-ff", "trays", "-m", "Merge branch 'trays'\n[outcome:seal]")
+    store = Store(spark, f"file://{tmp_path}/s")
+    pipeline.build(spark, {"r": f"file://{root}"}, store, repos={"r": str(root)})
+    g = pipeline.open_graph(store)
+    merge = g.nodes.where("kind = 'pr_merge'").first()
+    assert merge["name"] == "Merge branch 'trays'" and merge["metadata"]["branch"] == "trays" and merge["metadata"]["outcomes"] == "seal"
+    changed = {r["target_id"].split(":")[2] for r in g.edges.where("edge_type = 'modified'").collect()}
+    assert {"seal_tray", "open_tray", "LIMIT"} <= changed and "read_tray" not in changed
+    uses = {tuple(r) for r in g.edges.where("edge_type = 'uses_framework'").select("source_id", "target_id").collect()}
+    assert uses <= {("r:subsystems:app:subsystem", "r:frameworks:fastapi:framework")}
+    first = pipeline.embed(store)
+    assert first["embedded"] > 3 and first["deleted"] == first["kept"] == 0
+    store.change(lambda s, e: (s.where("name <> 'open_tray'"), e))
+    second = pipeline.embed(store)
+    assert second["embedded"] == 0 and second["deleted"] == 1 and second["kept"] == first["embedded"] - 1
+
+
+def test_search_by_vector_sections_and_subsystems(spark, built):
+    from skein.operators import search as S
+
+    _, g, root = built
+    rows = S.index_rows(g.nodes)
+    vectors = S.hashed_vectors(rows, "id", "text")
+    asked = S.hashed_vectors(spark.createDataFrame([("q", "open tray seal")], "id string, text string"), "id", "text").withColumnRenamed("id", "query")
+    hits = api.search(g, "tray", vectors=vectors, asked=asked, kind="function", limit=4).orderBy("place").collect()
+    assert len(hits) == 4 and all(r["kind"] == "function" for r in hits) and [r["place"] for r in hits] == [1, 2, 3, 4]
+    ranked = api.search(g, "tray", vectors=vectors, asked=asked, kind="function", limit=4, scorer=lambda q, t: float("open_tray" in t)).orderBy("place").first()
+    assert "open_tray" in ranked["body"]
+    artifacts = spark.createDataFrame([("a", "outcome", "Seal", "seal every tray"), ("b", "metis", "Note", "tray tray")], "id string, kind string, title string, text string")
+    markdown = g.nodes.where("kind = 'markdown_section'").select("id", "name", F.lit(1).alias("level"), "body")
+    parts = api.sections(g, "tray", artifacts, markdown, artifact_kinds=["outcome"])
+    assert [r["id"] for r in parts["artifacts"].collect()] == ["a"] and parts["symbols"].count() > 0 and parts["markdown"].count() >= 1
+    for mode in ("impact", "tests_for", "cycles"):
+        with pytest.raises(ValueError):
+            api.traverse(g, "seal_tray", mode, edge_types=["calls"])
+    with pytest.raises(ValueError):
+        api.traverse(g, "seal_tray", "sideways")
+    assert api.traverse(g, "seal_tray", "impact", target_subsystem="nowhere").collect() == []
+    assert api.traverse(g, "seal_tray", "impact", subsystem="APP").count() >= 2
