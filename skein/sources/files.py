@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import cut, spread
+
 #: What is never scanned.
 DEFAULT_EXCLUDES = ["node_modules/", ".git/", "target/", "build/", ".venv/", "venv/", "__pycache__/", ".pytest_cache/", "dist/", ".next/", "vendor/", "*.lock", "*.min.js", "*.map", "*.pyc"]
 #: Bytes at a file's start in which a zero byte marks it as binary.
@@ -56,6 +58,45 @@ def scan(spark: SparkSession, roots: dict[str, str], excludes: list[str] | None
     return out
 
 
+def listed(spark: SparkSession, roots: dict[str, str], excludes: list[str] | None = None) -> DataFrame:
+    """Root, path, at (where it lies), modified, size of every file of the roots. No content is read. Empty files are not listed."""
+    out = None
+    for slug_, folder in roots.items():
+        base = re.sub(r"^file:/*", "/", folder).rstrip("/")
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        name = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(base)}/", "")
+        part = part.select(F.lit(slug_).alias("root"), name.alias("name"), F.col("path").alias("at"), F.col("modificationTime").alias("modified"), F.col("length").alias("size")).withColumnRenamed("name", "path")
+        out = part if out is None else out.unionByName(part)
+    return out.where(~excluded(F.col("path"), DEFAULT_EXCLUDES if excludes is None else excludes))
+
+
+def scan_changed(spark: SparkSession, roots: dict[str, str], state: DataFrame, excludes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new and changed files as ``scan`` gives them, the new state). Only files whose time or size differ from ``state`` are read.
+
+    A file that was touched but holds what it held is no change; its new time is kept. Files that are gone leave the state.
+    """
+    now = listed(spark, roots, excludes)
+    same = now.join(state.select("root", "path", "modified", "size", "sha256"), ["root", "path", "modified", "size"])
+    differ = spread(now.join(state.select("root", "path", "modified", "size"), ["root", "path", "modified", "size"], "left_anti"))
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.iloc[k : k + 1]
+                fs, path = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", row["at"].iloc[0]))
+                with fs.open_input_stream(path) as f:
+                    data = f.read()
+                yield pd.DataFrame({**{c: row[c] for c in ("root", "path", "modified", "size")}, "content": [data]})
+
+    read_ = cut(differ.mapInPandas(read, "root string, path string, modified timestamp, size bigint, content binary"), "changed_files")
+    fresh = state_of(read_)
+    known = fresh.join(state.select("root", "path", "sha256"), ["root", "path", "sha256"], "left_semi").select("root", "path")
+    return read_.join(known, ["root", "path"], "left_anti"), same.select("root", "path", "modified", "size", "sha256").unionByName(fresh)
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """Adds binary, text (null for binary files) and replaced (whether bytes were not UTF-8)."""
     head = F.substring(F.hex(F.substring("content", 1, BINARY_HEAD)), 1, 2 * BINARY_HEAD)

@@ -92,6 +92,23 @@ def test_manifests(spark):
     assert {r["package"] for r in got.collect()} == {"react", "jest", "httpx", "numpy", "flask", "github.com/a/b", "x.y/z"}
 
 
+def test_scan_reads_what_differs_only(spark, tmp_path):
+    root = tmp_path / "r"
+    write(str(root), {"a.py": "A = 1\n", "b/c.py": "C = 1\n", "node_modules/x.js": "no", "d.py": "D", "empty.py": ""})
+    roots, none = {"r": f"file://{root}"}, spark.createDataFrame([], S.STATE)
+    first, state = S.scan_changed(spark, roots, none)
+    assert {(r["path"], bytes(r["content"])) for r in first.collect()} == {("a.py", b"A = 1\n"), ("b/c.py", b"C = 1\n"), ("d.py", b"D")}
+    kept = spark.createDataFrame(state.collect(), S.STATE)
+    again, _ = S.scan_changed(spark, roots, kept)
+    assert again.collect() == []
+    write(str(root), {"a.py": "A = 22\n", "e.py": "E = 1\n"})
+    os.utime(root / "b/c.py", (1, 1))  # touched, not changed
+    os.remove(root / "d.py")
+    third, state = S.scan_changed(spark, roots, kept)
+    assert {r["path"] for r in third.collect()} == {"a.py", "e.py"}
+    assert {r["path"] for r in state.collect()} == {"a.py", "b/c.py", "e.py"}
+
+
 def test_boundary_configs(tmp_path):
     write(str(tmp_path), {"a.toml": '[meta]\nname = "x"\n[meta.applies_when]\nlanguage = "python"\nimports_contain = ["bus"]\n[[boundaries]]\nfunction_pattern = "bus.publish"\narg_position = 1\nedge_kind = "Produces"\n', "b.toml": "broken ["})
     assert H.boundary_configs(str(tmp_path)) == [{"language": "python", "imports": ["bus"], "pattern": "bus.publish", "argument": 1, "decorator": False, "edge_kind": "produces"}] and H.boundary_configs(str(tmp_path / "no")) == []
